@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import url_filters
+from corvane.llm import decontamination, language_id, url_filters
 
-QUERIES = {"op1_url_filters": url_filters.op1_url_filters}
-ORACLES = {"op1_url_filters": url_filters.ORACLE}
+QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
+    "op8_decontamination": decontamination.op8_decontamination,
+    "op9_language_id": language_id.op9_language_id,
+}
+ORACLES = {"op1_url_filters": url_filters.ORACLE, "op8_decontamination": decontamination.ORACLE}
