@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontamination, language_id, url_filters
+from corvane.llm import decontamination, language_id, packing, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op4_packing": packing.op4_packing,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
 }
