@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontamination, language_id, packing, url_filters
+from corvane.llm import chat, decontamination, language_id, packing, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op4_packing": packing.op4_packing,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
 }
-ORACLES = {"op1_url_filters": url_filters.ORACLE, "op8_decontamination": decontamination.ORACLE}
+ORACLES = {
+    "op1_url_filters": url_filters.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
+}
