@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, language_id, packing, toxicity, url_filters
+from corvane.llm import chat, decontamination, language_id, packing, quality, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE,
