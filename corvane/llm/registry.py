@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, language_id, packing, quality, toxicity, url_filters
+from corvane.llm import ann, chat, decontamination, language_id, packing, quality, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op4_packing": packing.op4_packing,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality": quality.op10_quality,

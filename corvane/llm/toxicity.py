@@ -11,6 +11,7 @@ calibration texts of a language best gets the score 0.7.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -127,7 +128,7 @@ class Toxicity:
     """The fitted network with its calibration by language."""
 
     def __init__(self, texts: list[str], y: np.ndarray, langs: list[str | None], natural: tuple[float, float]):
-        self.net = Network()
+        self.net, self.key = Network(), uuid.uuid4().hex
         found = [words(t) for t in texts]
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for own in found for w in own))}
         table = np.array([buckets_of(w) for w in vocab], np.int32).reshape(-1, PARTS)
@@ -245,6 +246,17 @@ class Scorer:
         return out
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Toxicity) -> Scorer:
+    """The worker's scorer of a model; it outlives a task, its words stay known."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
+
+
 def best_cut(margins: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
     """The margin between texts with the best F1 of the toxic class, each text
     counting as many as it stands for; 0 without texts of both classes."""
@@ -283,7 +295,7 @@ def score(model: Toxicity, docs: DataFrame, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Scorer(held.value)
+        own = scorer_of(held.value)
         for batch in batches:
             yield pd.Series(own.scores(list(batch)), dtype=float)
 
