@@ -106,6 +106,17 @@ class WordEncoder:
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, found, strict=True)]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder of a file; it outlives a task, its words stay known."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """The cuts, as increasing positions, of least padding plus penalties.
 
@@ -219,7 +230,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(path)
+        encode = encoder_of(path)
         packer = Packer(encode.ends, size, TaskContext.get().partitionId() << 40)
         columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         out, tokens = [], 0
