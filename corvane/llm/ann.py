@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import stage
+from corvane.llm.shared import small_batches, stage
 
 CODEBOOKS, CODEWORDS, BEAM = 16, 256, 4
 #: Vectors the codebooks are fitted on: those with the least hash of vec_id.
@@ -132,6 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
     vector counts.  Other columns are left out.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")]
     clean = lambda df: df.select(*columns).where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = stage(clean(vectors), "ann-vectors")
