@@ -38,11 +38,12 @@ SIZE = 2048
 END_ID = 1
 SENTENCE_CUT, FORCED_CUT = 8, 24
 #: Steps at which a stretch without a sentence end may be cut.
-STEP = 16
+STEP = 24
 #: Tokens that are solved at once.
 BLOCK = 1 << 20
-#: Words whose ids a worker remembers: the first it meets, so the common ones.
-REMEMBERED = 300_000
+#: Words, and parts between white space, whose ids a worker remembers: the
+#: first it meets, so the common ones.
+REMEMBERED = 400_000
 #: Characters that are encoded at once.
 CHARS = 1 << 20
 #: Rows written at once, in tokens.
@@ -81,29 +82,52 @@ class WordEncoder:
         self.by_word = made["model"]["type"] == "BPE" and len(parts) == 1 and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
         self.pattern = regex.compile(parts[0]["pattern"]["Regex"]) if self.by_word else None
         self.plain = self.by_word and parts[0]["pattern"]["Regex"] == PLAIN_FOR
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max([*vocab.values(), END_ID]) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
 
-    def _words(self, text: str) -> list[str]:
-        """The words of a text as the file's normaliser and pattern find them.
-        Up to U+024F Python's own case mapping and character classes agree with
-        the library's (a test goes through them all) and are much faster."""
+    def _pieces(self, text: str) -> tuple[bool, list[str]]:
+        """(whether they still have to be split into words, parts of a text).
+        Words never cross white space, so the parts between it can be
+        remembered as they are.  Up to U+024F Python's own case mapping, white
+        space and character classes agree with the library's (a test goes
+        through them all) and are much faster."""
         if self.plain and not BEYOND.search(text):
-            return PLAIN.findall(unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower())
-        return self.pattern.findall(self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text)
+            return True, (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+        return False, self.pattern.findall(self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text)
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        found = [None if not self.by_word or (self.added and self.added.search(t)) else self._words(t) for t in texts]
-        known = self.known
-        fresh = list(set(itertools.chain.from_iterable(w for w in found if w is not None)).difference(known))
+    def _learn_words(self, found: set[str]) -> dict[str, bytes]:
+        """The ids of words, of which as many as there is room for are remembered."""
+        known = self.words
+        fresh = [w for w in found if w not in known]
         made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
         if len(known) < REMEMBERED:
             known.update(made)
-        get = known.__getitem__ if len(made) == 0 or fresh[0] in known else (known | made).__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, found, strict=True)]
+        return made
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list = []
+        for t in texts:
+            if not self.by_word or (self.added and self.added.search(t)):
+                out.append((None, None, np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()))
+                continue
+            split, pieces = self._pieces(t)
+            got = list(map((self.chunks if split else self.words).get, pieces))
+            out.append((split, [(i, pieces[i]) for i, x in enumerate(got) if x is None] if None in got else [], got))
+        parts = {c: PLAIN.findall(c) for c in {c for split, gaps, _ in out if split for _, c in gaps}}
+        wanted = set(itertools.chain.from_iterable(parts.values())).union(w for split, gaps, _ in out if split is False for _, w in gaps)
+        made = self._learn_words(wanted)
+        word = lambda w: made[w] if w in made else self.words[w]
+        chunks = {c: word(w[0]) if len(w) == 1 else b"".join(map(word, w)) for c, w in parts.items()}
+        if len(self.chunks) < REMEMBERED:
+            self.chunks.update(chunks)
+        for split, gaps, got in out:
+            for i, piece in gaps or ():
+                got[i] = chunks[piece] if split else word(piece)
+        return [got if split is None else b"".join(got) for split, _, got in out]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
