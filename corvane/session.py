@@ -24,3 +24,12 @@ def local_session(app: str = "corvane", cpus: int | None = None, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it.  On a cluster
+    it is shipped with --py-files and this path does nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
