@@ -130,5 +130,5 @@ def rate_limit_replay(calls: DataFrame, per_min: int) -> DataFrame:
 
 def gap_counts(calls: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Calls with how many of the same key fell in the ``seconds`` before them."""
-    w = Window.partitionBy(key).orderBy(F.col(at).cast("long")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
     return calls.withColumn("recent", F.count(F.lit(1)).over(w))

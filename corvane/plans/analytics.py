@@ -131,7 +131,7 @@ SELECT round(avg(CASE WHEN kind <> 'error' THEN CASE WHEN contains(lower(props),
 
 def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events, an hour counted as a second."""
-    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros("ts") / 3.6e9).cast("timestamp").alias("at"))
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).cast("timestamp").alias("at"))
     return governance.rate_limit_replay(e, 2)
 
 

@@ -48,11 +48,11 @@ SELECT CASE WHEN k IS NULL THEN '' ELSE 'order ' || CAST(k AS VARCHAR) END AS se
 
 def forward_fill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "lineitem").withColumn("label", F.when(F.col("l_linenumber") % 3 == 1, F.concat("l_returnflag", "l_linestatus")).otherwise(""))
-    filled = B.fill_forward(rows, "label", ["l_orderkey"], ["l_linenumber"])
+    filled = B.fill_forward(rows, "label", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
     return filled.groupBy("l_orderkey", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("total"))
 
 
-FILL_SQL = """WITH f AS (SELECT *, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag || l_linestatus END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS label FROM lineitem)
+FILL_SQL = """WITH f AS (SELECT *, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag || l_linestatus END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM lineitem)
 SELECT l_orderkey, coalesce(label, '') AS label, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM f GROUP BY 1, 2"""
 
 
@@ -238,11 +238,11 @@ def _sync(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, known = _sync(spark, sf_dir)
-    return sync.plan(files, known, "/r/")
+    return sync.plan(files, known, "/r/").withColumn("document_id", F.coalesce("document_id", F.lit(-1)))
 
 
 SYNC_SQL = """SELECT CASE WHEN lang = 'de' THEN '/r/moved/' ELSE '/r/' END || doc_id AS path, CASE lang WHEN 'fr' THEN 'changed' WHEN 'de' THEN 'moved' WHEN 'es' THEN 'missing' ELSE 'unchanged' END AS action, doc_id AS document_id FROM documents
-UNION ALL SELECT '/r/new' || r_regionkey, 'new', NULL FROM region"""
+UNION ALL SELECT '/r/new' || r_regionkey, 'new', -1 FROM region"""
 
 
 def skip_known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
