@@ -115,7 +115,14 @@ def checked(vectors: list[list[float]], texts: list[str], dim: int) -> list[list
 
 def embedded(text: Column, provider: Embedder, batch: int = 16, strict: bool = True) -> Column:
     """Vectors of texts, ``batch`` at a time.  ``strict`` fails on a bad vector;
-    else a text without a usable vector has none."""
+    else a text without a usable vector, or whose batch failed, has none."""
+
+    def usable(texts: list[str]) -> list:
+        try:
+            got = provider.embed(texts)
+        except Exception:
+            return [None] * len(texts)
+        return [v if len(v) == provider.dim and all(map(math.isfinite, v)) and any(v) else None for v in got] if len(got) == len(texts) else [None] * len(texts)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,8 +130,7 @@ def embedded(text: Column, provider: Embedder, batch: int = 16, strict: bool = T
             out: list = []
             for at in range(0, len(rows), batch):
                 texts = [t or "" for t in rows.iloc[at : at + batch]]
-                got = provider.embed(texts)
-                out += checked(got, texts, provider.dim) if strict else [v if any(v) else None for v in got]
+                out += checked(provider.embed(texts), texts, provider.dim) if strict else usable(texts)
             yield pd.Series(out, dtype=object)
 
     return run(text)

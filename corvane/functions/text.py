@@ -139,7 +139,7 @@ def unsupported(answer: Column, evidence: Column) -> Column:
 
 def cited(answer: Column, limit: Column) -> Column:
     """Cited numbers, rising; null if there are none or any is out of range."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: x.cast("long")))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: x.try_cast("long")))
     return F.when((F.size(found) > 0) & F.forall(found, lambda n: F.coalesce(n.between(1, limit), F.lit(False))), F.array_sort(found))
 
 

@@ -51,24 +51,25 @@ def ingest(store: Store, root: str, embedder: Embedder, settings: Settings | Non
     docs = document_rows(fresh, parsed, acl or [], s, embedder)
     named = lambda df: df.join(docs.where("status = 'indexed'").select("id", F.col("source_path").alias("path")), "path").withColumnRenamed("id", "doc")
     chunks = chunk(named(prose.unionByName(rows)), docs.select(F.col("id").alias("doc"), "title", "products"), s)
-    chunks = chunks.withColumn("embedding", embedded(F.col("content"), embedder, s.embed_batch_size))
-    new_docs, new_chunks = store.replace("staged_documents", docs), store.replace("staged_chunks", chunks)
-    del new_docs, new_chunks
-    docs, chunks = store.read("staged_documents", schemas.DOCUMENTS), store.read("staged_chunks", schemas.CHUNKS)
-    counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
-    docs = docs.join(counts, F.col("id") == F.col("document_id"), "left").drop("document_id")
-    empty = F.col("error").isNull() & F.col("chunks").isNull()
-    docs = docs.withColumn("error", F.when(empty, "no chunks").otherwise(F.col("error"))).withColumn("status", F.when(F.col("error").isNull(), "indexed").otherwise("failed"))
-    kept = docs.join(known.where("status = 'indexed'").select("sha256"), "sha256", "left_semi")
+    chunks = chunks.withColumn("embedding", embedded(F.col("content"), embedder, s.embed_batch_size, strict=False))
+    store.replace("staged_documents", docs)
+    store.replace("staged_chunks", chunks)
+    chunks = store.read("staged_chunks", schemas.CHUNKS)
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.count("embedding").alias("vectors"))
+    docs = store.read("staged_documents", schemas.DOCUMENTS).join(counts, "id", "left")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("chunks").isNull(), "no chunks").when(F.col("vectors") < F.col("chunks"), "embedding failed")
+    docs = docs.withColumn("error", error).withColumn("status", F.when(error.isNull(), "indexed").otherwise("failed"))
     good = docs.where("status = 'indexed'")
-    merged = sync.upsert_documents(known, docs.drop("chunks").withColumn("status", F.when(F.col("sha256").isin([]), "failed").otherwise(F.col("status"))))
+    # A document that was indexed stays so, with its chunks and the new error.
+    before = known.where("status = 'indexed'").select(F.col("sha256").alias("__b"))
+    record = docs.join(before, F.col("sha256") == F.col("__b"), "left").withColumn("status", F.when(F.col("__b").isNotNull(), "indexed").otherwise(F.col("status")))
+    merged = sync.upsert_documents(known, record.select(*known.columns))
     if supersede:
-        merged = merged.join(good.select(F.col("source_path").alias("__p"), F.col("sha256").alias("__s")), (F.col("source_path") == F.col("__p")) & (F.col("sha256") != F.col("__s")), "left_anti")
-    still = kept.where("status = 'failed'").select(F.col("sha256").alias("__k"))
-    merged = merged.join(still, F.col("sha256") == F.col("__k"), "left").withColumn("status", F.when(F.col("__k").isNotNull(), "indexed").otherwise(F.col("status"))).drop("__k")
-    old = store.read("chunks", schemas.CHUNKS)
-    left = old.join(good.select(F.col("id").alias("document_id")), "document_id", "left_anti").select(*old.columns).unionByName(chunks.join(good.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old.columns))
-    store.replace("chunks", left.join(merged.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old.columns))
+        newer = good.select(F.col("source_path").alias("__p"), F.col("sha256").alias("__s"))
+        merged = merged.join(newer, (F.col("source_path") == F.col("__p")) & (F.col("sha256") != F.col("__s")), "left_anti")
+    old, ids = store.read("chunks", schemas.CHUNKS), good.select(F.col("id").alias("document_id"))
+    kept = old.join(ids, "document_id", "left_anti").select(*old.columns).unionByName(chunks.join(ids, "document_id", "left_semi").select(*old.columns))
+    store.replace("chunks", kept.join(merged.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old.columns))
     store.replace("documents", merged)
     return docs.select(F.col("source_path").alias("path"), "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 

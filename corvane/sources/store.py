@@ -23,8 +23,8 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/_CURRENT")
-        return self.spark.read.text(f"{self.root}/{table}/_CURRENT", wholetext=True).first()[0].strip() if fs.exists(p) else None
+        fs, p = self._fs(f"{self.root}/{table}/CURRENT")
+        return self.spark.read.text(f"{self.root}/{table}/CURRENT", wholetext=True).first()[0].strip() if fs.exists(p) else None
 
     def read(self, table: str, schema: str) -> DataFrame:
         """The current version; an empty table if there is none.  Columns of a
@@ -40,8 +40,8 @@ class Store:
         name = f"v{schemas.VERSION}-{uuid.uuid4().hex}"
         at = f"{self.root}/{table}/{name}"
         (rows.write.partitionBy(*partition) if partition else rows.write).parquet(at)
-        fs, target = self._fs(f"{self.root}/{table}/_CURRENT")
-        _, fresh = self._fs(f"{self.root}/{table}/_CURRENT-{name}")
+        fs, target = self._fs(f"{self.root}/{table}/CURRENT")
+        _, fresh = self._fs(f"{self.root}/{table}/CURRENT-{name}")
         out = fs.create(fresh, True)
         out.write(bytearray(name.encode()))
         out.close()
