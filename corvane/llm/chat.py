@@ -99,19 +99,25 @@ def _flush(rows: Iterator[tuple], columns: list[str], chars) -> Iterator[pd.Data
         out.append(row)
         size += chars(row)
         if size >= FLUSH_CHARS:
-            yield pd.DataFrame(out, columns=columns)
+            yield _frame(out, columns)
             out, size = [], 0
     if out:
-        yield pd.DataFrame(out, columns=columns)
+        yield _frame(out, columns)
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    made = dict(zip(columns, zip(*rows, strict=True), strict=True))
+    return pd.DataFrame(made | {"conv_id": pd.array(made["conv_id"], dtype="Int64")})
 
 
 def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, Iterator[tuple]]]:
-    """Runs of rows with one key, each an iterator that must be used up."""
+    """Runs of rows with one key (a number as text, since pandas would make
+    floats of numbers with nulls), each an iterator that must be used up."""
     import itertools
 
     rows = (r for b in batches for r in b.itertuples(index=False))
-    for k, run in itertools.groupby(rows, key=lambda r: None if pd.isna(getattr(r, key)) else int(getattr(r, key))):
-        yield k, run
+    for k, run in itertools.groupby(rows, key=lambda r: getattr(r, key)):
+        yield None if k is None else int(k), run
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -124,12 +130,11 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """
     small_batches(turns.sparkSession)
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("o"), F.col(role).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "o", "r", "t").select("conv_id", "r", "t")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "o", "r", "t").select(F.col("conv_id").cast("string"), "r", "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        examples = ((c, *e) for c, own in _grouped(batches, "conv_id") for e in expand((None if pd.isna(x.r) else x.r, x.t) for x in own))
-        for frame in _flush(examples, ["conv_id", "example", "text", "loss_start", "loss_end", "n_turns", "last"], lambda e: len(e[2])):
-            yield frame.astype({"conv_id": "Int64"})
+        examples = ((c, *e) for c, own in _grouped(batches, "conv_id") for e in expand((None if x.r is None else x.r, x.t) for x in own))
+        yield from _flush(examples, ["conv_id", "example", "text", "loss_start", "loss_end", "n_turns", "last"], lambda e: len(e[2]))
 
     return rows.mapInPandas(run, EXAMPLES)
 
@@ -153,10 +158,9 @@ def digest_examples(examples: DataFrame) -> DataFrame:
                     whole.update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
                 yield conv, len(turns), whole.hexdigest(), loss_chars, loss.hexdigest(), chars
 
-        for frame in _flush(rows(), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], lambda r: 200):
-            yield frame.astype({"conv_id": "Int64"})
+        yield from _flush(rows(), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], lambda r: 200)
 
-    return examples.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import drop_stage, mix, small_batches, stage, words
+from corvane.llm.shared import drop_stage, kept_by_worker, mix, small_batches, stage, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 25 bands of 5 registers: a pair at the threshold shares a band with
@@ -33,25 +34,11 @@ BANDS, ROWS = 25, 5
 LEADER_ROUNDS = 3
 #: Comparisons with one leader are split into parts of about so many.
 PART = 2000
-REMEMBERED = 400_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker remembers those of the words it met first."""
-    import xxhash
-
-    try:
-        return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    except KeyError:
-        known = _WORDS
-        if len(known) >= REMEMBERED:
-            known = {w: _WORDS.get(w) or xxhash.xxh64_intdigest(w) for w in set(found)}
-        else:
-            for w in set(found).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +113,7 @@ def banded(docs: DataFrame, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("near-duplicates", dict)  # frees what other operators left
         for b in batches:
             a, c, keys = [], [], []
             for x, y, t in zip(b["a"], b["b"], b["t"], strict=True):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import small_batches
+from corvane.llm.shared import kept_by_worker, small_batches
 
 SIZE = 2048
 END_ID = 1
@@ -43,7 +43,7 @@ STEP = 24
 BLOCK = 1 << 20
 #: Words, and parts between white space, whose ids a worker remembers: the
 #: first it meets, so the common ones.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Characters that are encoded at once.
 CHARS = 1 << 20
 #: Rows written at once, in tokens.
@@ -130,15 +130,9 @@ class WordEncoder:
         return [got if split is None else b"".join(got) for split, _, got in out]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder of a file; it outlives a task, its words stay known."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept_by_worker(("encoder", path), lambda: WordEncoder(path))
 
 
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -265,7 +259,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                 sizes = np.cumsum([len(t) for t in texts]) // CHARS
                 for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
                     for i, ids in zip(batch["i"].iloc[at], encode.many([texts[k] for k in at]), strict=True):
-                        yield from packer.add(None if pd.isna(i) else int(i), np.frombuffer(ids + END.tobytes(), "<u4"))
+                        yield from packer.add(None if i is None else int(i), np.frombuffer(ids + END.tobytes(), "<u4"))
             yield from packer.solve(True)
 
         for row in rows():
@@ -277,15 +271,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         if out:
             yield _frame(out, columns)
 
-    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").cast("string").alias("i"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
 
 
 END = np.array([END_ID], "<u4")
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({"doc_id": "Int64"})
+    made = dict(zip(columns, zip(*rows, strict=True), strict=True))
+    return pd.DataFrame(made | {"doc_id": pd.array(made["doc_id"], dtype="Int64")})
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,13 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = {r.quality: r["count"] for r in own.groupBy("quality").count().collect()}
     part = lambda c: own.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    picked = F.broadcast(part(0).unionByName(part(1)).withColumnRenamed("doc_id", "__id"))
+    picked = F.broadcast(part(0).unionByName(part(1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")))
 
     def count(batches):
         for b in batches:
             yield pd.DataFrame({"i": b["i"], "q": b["q"], "x": [features(t) for t in b["t"]]})
 
-    rows = docs.join(picked, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("string").alias("i"), F.col("quality").alias("q"), F.col(text).alias("t"))
+    rows = docs.join(picked, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("string").alias("i"), F.col("__quality").alias("q"), F.col(text).alias("t"))
     got = sorted(rows.mapInPandas(count, "i string, q int, x array<double>").dropDuplicates(["i"]).collect(), key=lambda r: r.i)
     y = np.array([r.q for r in got], float)
     weight = np.array([total[r.q] / max(1, (y == r.q).sum()) for r in got])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -29,6 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, such as words it has met.
+    It holds one such thing: another key's makes room first, so the operators
+    of a pipeline do not add up in a worker's memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own
     where it is unset, as in local tests."""
@@ -54,7 +68,7 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, since whole texts can be very long, and
     let Python workers import this package from where the driver has it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

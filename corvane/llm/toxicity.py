@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import fold_of, small_batches, words
+from corvane.llm.shared import fold_of, kept_by_worker, small_batches, words
 
 BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 10, 8, (1, 2, 3)
@@ -33,7 +33,7 @@ POSITIVES, NEGATIVES = 1600, 2400
 EPOCHS, RATE = 5, 0.08
 THRESHOLD = 0.7
 #: Words whose filter responses a worker remembers: the first it meets.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: A language needs so many toxic calibration texts for a cut of its own.
 LEAST_TOXIC = 12
 
@@ -246,15 +246,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Toxicity) -> Scorer:
     """The worker's scorer of a model; it outlives a task, its words stay known."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    return kept_by_worker(("toxicity", model.key), lambda: Scorer(model))
 
 
 def best_cut(margins: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
@@ -280,9 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r["count"] for r in own.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     part = lambda c, n: own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = F.broadcast(part(1, positives).unionByName(part(0, negatives)).withColumnRenamed("doc_id", "__id"))
+    picked = F.broadcast(part(1, positives).unionByName(part(0, negatives)).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col(text).isNotNull()).join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", F.col(text).alias("t"), "toxic", lang.alias("lang")).dropDuplicates(["doc_id"])
+    rows = docs.where(F.col(text).isNotNull()).join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", F.col(text).alias("t"), F.col("__toxic").alias("toxic"), lang.alias("lang")).dropDuplicates(["doc_id"])
     got = sorted(rows.toLocalIterator(), key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
     return Toxicity([r.t for r in got], np.array([int(r.toxic) for r in got], int), [r.lang for r in got], (float(total.get(0, 0)), float(total.get(1, 0))))
 

@@ -102,24 +102,25 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     blocks = bloom_blocks(known, "__listed", n_blocks)
     if n_blocks * BLOCK_ROW_BYTES <= BROADCAST_BYTES:
         blocks = F.broadcast(blocks)
-    rows = pages.drop("host", "path", "rule", "verdict")
+    # The caller's columns travel as one, so that none can clash with those made here.
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{url}`").alias("url"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    masks, pick = _masks(F.col("__key"))
+    masks, pick = _masks(F.col("key"))
     rows = (
-        rows.withColumns({"host": F.coalesce(url_host(F.col(url)), F.lit("")), "path": F.coalesce(url_path(F.col(url)), F.lit("")), "__key": canonical_url(F.col(url))})
+        rows.select("row", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.coalesce(url_path(F.col("url")), F.lit("")).alias("path"), canonical_url(F.col("url")).alias("key"))
         .withColumns({"rule": rule, "verdict": verdict})
-        .withColumns({"__block": F.pmod(pick, F.lit(n_blocks)), **{f"__m{j}": m for j, m in enumerate(masks)}})
+        .withColumns({"at": F.pmod(pick, F.lit(n_blocks)), **{f"m{j}": m for j, m in enumerate(masks)}})
     )
     passes = F.lit(True)
     for j in range(4):
-        passes = passes & (F.col(f"w{j}").bitwiseAND(F.col(f"__m{j}")) == F.col(f"__m{j}"))
-    may = F.coalesce(passes, F.lit(False)) & F.col("__key").isNotNull() & F.col("verdict").isNull()
-    out = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")] + ["host", "path", "rule"]
-    probed = rows.join(blocks, F.col("__block") == F.col("block"), "left").withColumn("__may", may)
-    probed = probed.select(*out, "verdict", "__key", "__may")
-    clear = probed.where(~F.col("__may")).select(*out, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    exact = probed.where(F.col("__may")).join(known, F.col("__key") == F.col("__listed"), "left")
-    return clear.unionByName(exact.select(*out, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
+        passes = passes & (F.col(f"w{j}").bitwiseAND(F.col(f"m{j}")) == F.col(f"m{j}"))
+    may = F.coalesce(passes, F.lit(False)) & F.col("key").isNotNull() & F.col("verdict").isNull()
+    probed = rows.join(blocks, F.col("at") == F.col("block"), "left").select("row", "host", "path", "rule", "verdict", "key", may.alias("may"))
+    out = lambda df, says: df.select(*[F.col("row").getField(c).alias(c) for c in keep], "host", "path", "rule", says.alias("verdict"))
+    clear = out(probed.where(~F.col("may")), F.coalesce("verdict", F.lit("allow")))
+    exact = probed.where(F.col("may")).join(known, F.col("key") == F.col("__listed"), "left")
+    return clear.unionByName(out(exact, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow")))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
