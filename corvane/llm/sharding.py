@@ -21,8 +21,6 @@ from corvane.llm.shared import drop_stage, stage
 
 SHARDS = 16
 ROUNDS = 10
-#: A group of equal texts is split until its parts are at most this share of a shard.
-PART = 0.25
 #: Buckets by hash in which movers are admitted, and in which rows are numbered.
 FINE, BUCKETS = 256, 64
 
@@ -50,17 +48,20 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -
     """``cells`` (g, start, n, shard) after at most ``rounds`` rounds of moves.
 
     No shard takes in more than brings it to ``quota``.  A group's wish is the
-    shard that holds most of it, ties to the one its hash prefers.
+    shard that holds most of it, ties to the one its hash prefers; but shards
+    without room for all of it come last.
     """
     state, old = cells, None
     prefers = lambda s: F.pmod(F.xxhash64("g", s), F.lit(1 << 30))
     for _ in range(rounds):
+        load = state.groupBy("shard").agg(F.sum("n").alias("load"))
         sums = state.groupBy("g", "shard").agg(F.sum("n").alias("here"))
-        wish = sums.groupBy("g").agg(F.max(F.struct(F.col("here"), prefers(F.col("shard")).alias("p"), F.col("shard").alias("to"))).alias("w")).select("g", F.col("w.here").alias("there"), F.col("w.to").alias("to"))
+        sums = sums.join(sums.groupBy("g").agg(F.sum("here").alias("all")), "g").join(F.broadcast(load), "shard")
+        fits = F.col("load") - F.col("here") + F.col("all") <= quota
+        wish = sums.groupBy("g").agg(F.max(F.struct(fits.alias("fits"), F.col("here"), prefers(F.col("shard")).alias("p"), F.col("shard").alias("to"))).alias("w")).select("g", F.col("w.here").alias("there"), F.col("w.to").alias("to"))
         moving = state.join(wish, "g")
         # Cells of a group move together with the group's other cells to the same shard; small gains come last.
         moving = moving.withColumn("wants", F.col("to") != F.col("shard")).withColumn("level", F.when(F.col("wants"), F.floor(F.log2(F.col("there"))).cast("int"))).withColumn("fine", F.pmod(F.xxhash64("g", "start"), F.lit(FINE)).cast("int"))
-        load = state.groupBy("shard").agg(F.sum("n").alias("load"))
         queue = moving.where("wants").groupBy("to", "level", "fine").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy("to").orderBy(F.desc("level"), "fine").rowsBetween(Window.unboundedPreceding, 0)
         room = queue.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(load.withColumnRenamed("shard", "to")), "to", "left")
@@ -92,7 +93,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     rows = stage(rows, "shard-rows")
     total = rows.count()
     quota = total // shards
-    most = max(1, int(quota * PART))
+    most = max(1, quota)
     # Groups of two and more, by text and starting shard; unlinked documents stay out of the rounds.
     sums = rows.where(F.col("k").isNotNull()).groupBy("k", "start").agg(F.count(F.lit(1)).alias("n"))
     linked = sums.groupBy("k").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
