@@ -162,29 +162,41 @@ def components(links: DataFrame) -> DataFrame:
     """(id, root) for every end of ``links`` (m, l): the least id it reaches.
 
     Alternating large and small stars: each node points its neighbours to the
-    least node it knows.  Every round halves distances; rounds end when the
-    links no longer change.
+    least node it knows.  Rounds, each of which about halves distances, end
+    when only stars are left: no node has two parents, no parent has one.
     """
     spark = links.sparkSession
     edges = stage(links.where("m != l").select(F.greatest("m", "l").alias("u"), F.least("m", "l").alias("v")).distinct(), "links")
-    mark = None
-    while True:
+    while not _stars(edges):
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         # Large star: a node's larger neighbours go to its least.
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(edges).distinct()
+        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(edges)
         # Small star: a node and its smaller neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("w").alias("v")), F.struct(F.col("v").alias("u"), F.col("w").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         after = stage(small, "links")
-        got = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         drop_stage(spark, edges)
         edges = after
-        if mark == (got.n, got.s):
-            break
-        mark = (got.n, got.s)
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("id"), "root").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).groupBy("id").agg(F.min("root").alias("root"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    if edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0
+
+
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``classes`` (id, root) joined up by new ``links`` (m, l): only the roots
+    that links connect are worked on."""
+    if classes is None:
+        return stage(components(links), "classes")
+    end = lambda name: classes.select(F.col("id").alias(name), F.col("root").alias(f"r{name}"))
+    up = links.join(end("m"), "m", "left").join(end("l"), "l", "left").select(F.coalesce("rm", "m").alias("m"), F.coalesce("rl", "l").alias("l"))
+    moved = stage(components(up), "roots")
+    old = classes.join(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return stage(old.unionByName(moved.join(classes, "id", "left_anti")), "classes")
 
 
 def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -196,7 +208,7 @@ def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
     wanted = bands_2.select("id").distinct()
     texts = docs.select(text_id(F.col(text)).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     texts = stage(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")), "texts")
-    links, asked, classes = None, None, None
+    asked, classes = None, None
     for turn in range(LEADER_ROUNDS + 1):
         if classes is None:
             rows = bands_2.withColumn("c", F.col("id"))
@@ -219,9 +231,7 @@ def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
         if pairs.limit(1).count() == 0:
             break
         asked = pairs if asked is None else asked.unionByName(pairs)
-        fresh = stage(verify(pairs, texts, similarity), "verified")
-        links = fresh if links is None else links.unionByName(fresh)
-        classes = stage(components(links), "classes")
+        classes = merged(classes, stage(verify(pairs, texts, similarity), "verified"))
     return classes if classes is not None else bands_2.select("id", F.col("id").alias("root")).limit(0)
 
 
