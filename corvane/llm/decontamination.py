@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import small_batches, words
+from corvane.llm.shared import kept_by_worker, small_batches, words
 
 WINDOW = 10
 #: Words of benchmark items in one block of the index.  A benchmark of any size
@@ -112,6 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     @F.pandas_udf("n_words long, n_hit long, items array<long>, spans array<array<int>>")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("decontamination", dict)  # frees what other operators left
         own = [b.value for b in indexes]
         for batch in batches:
             out = []

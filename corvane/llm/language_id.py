@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import fold_of, small_batches
+from corvane.llm.shared import fold_of, kept_by_worker, small_batches
 
 #: Labelled texts per language the model is fitted on (the least by hash of the
 #: text).  Prediction reads whole texts; fitting does too.
@@ -129,6 +129,7 @@ def predict(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("language", dict)  # frees what other operators left
         m = held.value
         for batch in batches:
             out = [m.decode(features(t)) if m.languages and t is not None and LETTER.search(t) else ("und", 0.0, True) for t in batch]

@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: probability 1 - (1 - 0.8^5)^25 = 0.99995.
 BANDS, ROWS = 25, 5
 #: Rounds with one leader a band; what is still apart then is compared pairwise.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Comparisons with one leader are split into parts of about so many.
 PART = 2000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -132,11 +132,16 @@ def banded(docs: DataFrame, text: str) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (m, l) whose texts are similar enough.  ``texts`` has (id,
     t).  A leader with many members has its text sent to parts of them."""
-    many = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("l", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    salted = pairs.join(many, "l", "left").select("m", "l", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("m"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
-    leaders = pairs.select("l").distinct().join(many, "l", "left").select("l", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    led = leaders.join(texts.select(F.col("id").alias("l"), F.col("t").alias("tl")), "l")
-    both = salted.join(texts.select(F.col("id").alias("m"), F.col("t").alias("tm")), "m").join(led, ["l", "part"])
+    counts = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    ends = lambda id_, t: texts.select(F.col("id").alias(id_), F.col("t").alias(t))
+    own = pairs.join(ends("m", "tm"), "m")
+    if counts.where(F.col("n") > PART).limit(1).count() == 0:
+        both = own.join(ends("l", "tl"), "l")
+    else:
+        parts = counts.select("l", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+        led = parts.select("l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(ends("l", "tl"), "l")
+        many = parts.where("parts > 1")
+        both = own.join(many, "l", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("m"), F.col("parts")), F.lit(0)).cast("int")).join(led, ["l", "part"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: OrderedDict = OrderedDict()
@@ -182,9 +187,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _stars(edges: DataFrame) -> bool:
-    if edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return False
-    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where("up > 1 or (up > 0 and down > 0)").limit(1).count() == 0
 
 
 def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import small_batches, stage, words
+from corvane.llm.shared import kept_by_worker, small_batches, stage, words
 
 #: Labelled texts of either class that the classifier is fitted on at most.
 PER_CLASS = 3000
@@ -112,6 +112,7 @@ def evidence(model: Classifier, docs: DataFrame, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept_by_worker("quality", dict)  # frees what other operators left
         for batch in batches:
             yield pd.Series(held.value.evidence(np.array([features(t) for t in batch], float)) if len(batch) else [], dtype=float)
 
