@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,7 +61,7 @@ class Network:
         self.out, self.base = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), -1.0
         self.squares: dict = {}
 
-    def start(self, parts: list[np.ndarray], y: np.ndarray) -> None:
+    def start(self, parts: Iterable[np.ndarray], y: np.ndarray) -> None:
         """Put shrunken log-odds of the buckets into the first three dimensions:
         the word's own, its beginnings' and its ends'."""
         seen = np.zeros((2, BUCKETS), np.float32)
@@ -129,23 +129,27 @@ class Toxicity:
 
     def __init__(self, texts: list[str], y: np.ndarray, langs: list[str | None], natural: tuple[float, float]):
         self.net, self.key = Network(), uuid.uuid4().hex
-        found = [words(t) for t in texts]
-        vocab = {w: i for i, w in enumerate(dict.fromkeys(w for own in found for w in own))}
-        table = np.array([buckets_of(w) for w in vocab], np.int32).reshape(-1, PARTS)
-        parts = [table[[vocab[w] for w in own]].reshape(-1, PARTS) for own in found]
+        # Texts become numbers of words at once: their words are not held apart.
+        vocab: dict[bytes, int] = {}
+        found = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words(t)), np.int32) for t in texts]
+        names = list(vocab)
+        del vocab
+        table = np.zeros((len(names), PARTS), np.int32)
+        for i, w in enumerate(names):
+            table[i] = buckets_of(w)
         fit = np.arange(len(y)) % 4 != 3
-        self.net.start([p for p, f in zip(parts, fit, strict=True) if f], y[fit])
+        self.net.start((table[own] for own, f in zip(found, fit, strict=True) if f), y[fit])
         rng, order = np.random.default_rng(5), np.flatnonzero(fit)
         n = np.maximum(np.bincount(y[fit], minlength=2), 1)
         weight = (n.sum() / (2 * n)).clip(0.5, 3)
         for _ in range(EPOCHS if (np.bincount(y[fit], minlength=2) > 0).all() else 0):
             for i in rng.permutation(order):
-                self.net.learn(parts[i], int(y[i]), float(weight[y[i]]))
-        self._languages(found, langs)
+                self.net.learn(table[found[i]], int(y[i]), float(weight[y[i]]))
+        self._languages(found, langs, names)
         self._prepare()
         held = np.flatnonzero(~fit)
-        margins = np.array([self.margin(table[[vocab[w] for w in found[i]]].reshape(-1, PARTS)) for i in held])
-        told = np.array([self.language(found[i]) for i in held], int)
+        margins = np.array([self.margin(table[found[i]]) for i in held])
+        told = np.array([self.language([names[k] for k in found[i]]) for i in held], int)
         share = [natural[c] / max(1, int((y == c).sum())) for c in (0, 1)]
         cost = np.array([share[c] for c in y[held]])
         everywhere = best_cut(margins, y[held], cost)
@@ -156,12 +160,13 @@ class Toxicity:
                 self.cuts[k] = best_cut(margins[own], y[held][own], cost[own])
         del self.net.squares
 
-    def _languages(self, found: list[list[bytes]], langs: list[str | None]) -> None:
+    def _languages(self, found: list[np.ndarray], langs: list[str | None], names: list[bytes]) -> None:
         """Log shares of each language's 200 commonest words."""
         by: dict[str, Counter] = {}
         for own, lang in zip(found, langs, strict=True):
             if lang is not None:
-                by.setdefault(lang, Counter()).update(own)
+                n = np.bincount(own)
+                by.setdefault(lang, Counter()).update({names[k]: int(n[k]) for k in np.flatnonzero(n)})
         self.names = sorted(by)
         total = {k: max(1, sum(c.values())) for k, c in by.items()}
         common = {w for c in by.values() for w, _ in c.most_common(200)}
