@@ -21,8 +21,10 @@ from corvane.llm.shared import drop_stage, stage
 
 SHARDS = 16
 ROUNDS = 10
-#: Buckets by hash in which movers are admitted, and in which rows are numbered.
-FINE, BUCKETS = 256, 64
+#: Buckets by hash in which movers are admitted.
+FINE = 256
+#: Rows are numbered in so many buckets by hash at least, at most, and rows in each.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 1 << 14, 30_000
 
 
 def text_size(text: Column) -> Column:
@@ -89,10 +91,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     key = F.when(F.col("t").isNotNull(), F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), F.col("t")).alias("b")))
     rows = source.select("doc_id", text_size(F.col("t")).alias("size"), text_crc(F.col("t")).alias("text_crc32"), key.alias("k"))
-    rows = rows.withColumns({"start": F.pmod(F.xxhash64(F.lit("start"), "doc_id", "k"), F.lit(shards)).cast("int"), "bucket": F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "k"), F.lit(BUCKETS)).cast("int")})
+    rows = rows.withColumns({"start": F.pmod(F.xxhash64(F.lit("start"), "doc_id", "k"), F.lit(shards)).cast("int"), "bucket": F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "k"), F.lit(MOST_BUCKETS)).cast("int")})
     rows = stage(rows, "shard-rows")
     total = rows.count()
     quota = total // shards
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, total // (shards * BUCKET_ROWS)))
     most = max(1, quota)
     # Groups of two and more, by text and starting shard; unlinked documents stay out of the rounds.
     sums = rows.where(F.col("k").isNotNull()).groupBy("k", "start").agg(F.count(F.lit(1)).alias("n"))
@@ -106,7 +109,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     first = stage(joined.select("doc_id", "size", "text_crc32", "k", "bucket", F.coalesce("to", "start").alias("shard"), F.col("to").isNull().cast("int").alias("loose")), "shard-placed")
     drop_stage(spark, rows)
     # The linked rows of a shard come first, so surplus is taken from the unlinked.
-    first = first.withColumn("bucket", F.col("loose") * BUCKETS + F.col("bucket"))
+    first = first.withColumn("bucket", F.col("loose") * buckets + F.col("bucket") % buckets)
     order = ["doc_id", "k", "size", "text_crc32"]
     counted = _numbered(first, ["shard"], order, "at")
     counts = {r.shard: r["count"] for r in first.groupBy("shard").count().collect()}
