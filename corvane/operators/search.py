@@ -72,10 +72,18 @@ def top(scored: DataFrame, n: int, *order: Column, by: str = "query_id", rank: s
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def postings(chunks: DataFrame, chunk_id: str = "id", content: str = "content") -> DataFrame:
-    """(term, chunk_id, tf, positions, length): the inverted index."""
+def asked_terms(questions: DataFrame, column: str = "terms") -> DataFrame:
+    """(query_id, term): the distinct words of an array column."""
+    return questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(column, T.tokens)))).alias("term"))
+
+
+def postings(chunks: DataFrame, chunk_id: str = "id", content: str = "content", only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, positions, length): the inverted index, or the part
+    of it for the terms of ``only`` (term), which are picked before words are
+    aggregated."""
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), T.tokens(F.col(content)).alias("w"))
     rows = words.select("chunk_id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
 
 
@@ -98,7 +106,7 @@ def sparse(questions: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Chunks with any of the ``terms``; 0.1 for every occurrence over 1 + ln of
     the chunk's length.  ``questions``: (query_id, terms array).  A term of
     several words counts by its words."""
-    asked = questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", T.tokens)))).alias("term"))
+    asked = asked_terms(questions)
     hits = index.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
     scored = hits.select("query_id", "chunk_id", F.round(F.lit(0.1) * F.col("tf") / (1 + F.log("length")), 9).alias("score"))
     return top(scored, n, F.desc("score"), F.asc("chunk_id"))
@@ -125,7 +133,7 @@ def cover_density(lists: list[list[int]]) -> float:
 def exact(questions: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Chunks with all words of all ``identifiers``, by cover density.
     Questions without identifiers have no rows."""
-    asked = questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("identifiers", T.tokens)))).alias("term"))
+    asked = asked_terms(questions, "identifiers")
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     hits = index.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("got"), F.collect_list("positions").alias("lists"))
     full = hits.join(F.broadcast(need) if questions.count() <= BROADCAST_QUESTIONS else need, "query_id").where(F.col("got") == F.col("need"))
@@ -263,7 +271,8 @@ def hybrid(questions: DataFrame, chunks: DataFrame, documents: DataFrame, filter
     s = settings or Settings()
     use = selected(paths)
     shown = visible(chunks, documents, filters)
-    index = postings(shown) if {"sparse", "exact"} & set(use) else None
+    wanted = [asked_terms(questions, c).select("term") for p, c in (("sparse", "terms"), ("exact", "identifiers")) if p in use]
+    index = postings(shown, only=wanted[0] if len(wanted) == 1 else wanted[0].unionByName(wanted[1])) if wanted else None
     make = {
         "dense": lambda: dense(questions, shown, s.search_candidates),
         "sparse": lambda: sparse(questions, index, s.search_candidates),

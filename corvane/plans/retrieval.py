@@ -22,7 +22,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked, s = V.document_chunks(spark, sf_dir), _questions(spark, sf_dir), Settings()
-    index = search.postings(chunks.select("id", "content"))
+    index = search.postings(chunks.select("id", "content"), only=search.asked_terms(asked))
     paths = {"dense": search.dense(asked.where("vector is not null"), chunks, s.search_candidates), "sparse": search.sparse(asked, index, s.search_candidates)}
     fused = search.fuse(paths, s.path_weights, s.rrf_k, s.search_candidates)
     named = fused.join(chunks.select(F.col("id").alias("chunk_id"), "content_hash"), "chunk_id")
@@ -58,8 +58,9 @@ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id
 
 
 def sparse_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
-    return search.sparse(_questions(spark, sf_dir), index, 50).select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+    asked = _questions(spark, sf_dir)
+    index = search.postings(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), only=search.asked_terms(asked))
+    return search.sparse(asked, index, 50).select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 SPARSE_TOP_SQL = f"WITH {SPARSE_SQL} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM sparse"
@@ -74,7 +75,7 @@ def exact_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with all words of a brand."""
     chunks = V.part_chunks(spark, sf_dir).select("id", "content")
     asked = V.table(spark, sf_dir, "part").select("p_brand").distinct().select(F.col("p_brand").alias("query_id"), F.array("p_brand").alias("identifiers"))
-    found = search.exact(asked, search.postings(chunks), 50)
+    found = search.exact(asked, search.postings(chunks, only=search.asked_terms(asked, "identifiers")), 50)
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
