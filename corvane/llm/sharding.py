@@ -1,15 +1,19 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked.  All start in the shard their hash
-gives.  In each round every cell (the documents of one text in one shard that
-started together) asks to go to the shard where most of its neighbours are; a
-shard admits, best gain first, what its quota has room for.  Rounds end when
-nobody moves.  Texts with more copies than a part of the quota are first split
-into parts by hash, so no group is larger than a shard can take.  Last, every
-shard is brought to exactly its quota: surplus documents, unlinked ones first,
-are dealt into the shards that lack some.  All of it is joins and grouped
-aggregation; what is ordered globally is ordered within hash buckets whose
-offsets come from a small table of counts.
+Documents with equal texts are linked; the hash of a document gives the shard
+it starts in.  In each round every group that has no shard of its own yet asks
+for the one, among those with room for all of it, that most of its documents
+start in or, if there is none, for another by hash; a shard admits the largest
+groups first, as far as its room goes, and one admitted stays.  Groups without
+a shard use up no room, so none is in another's way.  Rounds end when no group
+that is left fits anywhere.  The few groups that fill a good part of a shard
+choose before the rounds, one after another.  Texts with more copies than a shard can take, and
+the few groups that fit nowhere any more, are dealt by text and starting shard
+into what room is left.  Last, every shard is brought to exactly its quota:
+surplus documents, unlinked ones first and whole groups never, are dealt into
+the shards that lack some.  All of it is joins and grouped aggregation; what is
+ordered globally is ordered within hash buckets whose offsets come from a small
+table of counts.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import drop_stage, stage
 
 SHARDS = 16
-ROUNDS = 10
-#: Buckets by hash in which movers are admitted.
+#: Buckets by hash in which groups are admitted, at first; more when none of them fits.
 FINE = 256
+#: Groups over a shard's quota divided by this are placed one by one.
+LARGE = 64
 #: Rows are numbered in so many buckets by hash at least, at most, and rows in each.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 1 << 14, 30_000
 
@@ -46,37 +51,76 @@ def _numbered(rows: DataFrame, within: list[str], order: list[str], name: str) -
     return numbered.join(F.broadcast(starts), [*within, "bucket"]).withColumn(name, F.col("__start") + F.col("__own")).drop("__own", "__start")
 
 
-def propagate(cells: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (g, start, n, shard) after at most ``rounds`` rounds of moves.
-
-    No shard takes in more than brings it to ``quota``.  A group's wish is the
-    shard that holds most of it, ties to the one its hash prefers; but shards
-    without room for all of it come last.
+def propagate(groups: DataFrame, room: list[int]) -> tuple[list[DataFrame], DataFrame]:
+    """``groups`` (k, all, held: its (n, start) by starting shard) as those
+    that a shard took in whole, (k, held, to) in parts, and those that do not
+    fit anywhere, (k, all, held).  ``room`` has each shard's rows that are free
+    and is brought up to date.
     """
-    state, old = cells, None
-    prefers = lambda s: F.pmod(F.xxhash64("g", s), F.lit(1 << 30))
-    for _ in range(rounds):
-        load = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        sums = state.groupBy("g", "shard").agg(F.sum("n").alias("here"))
-        sums = sums.join(sums.groupBy("g").agg(F.sum("here").alias("all")), "g").join(F.broadcast(load), "shard")
-        fits = F.col("load") - F.col("here") + F.col("all") <= quota
-        wish = sums.groupBy("g").agg(F.max(F.struct(fits.alias("fits"), F.col("here"), prefers(F.col("shard")).alias("p"), F.col("shard").alias("to"))).alias("w")).select("g", F.col("w.here").alias("there"), F.col("w.to").alias("to"))
-        moving = state.join(wish, "g")
-        # Cells of a group move together with the group's other cells to the same shard; small gains come last.
-        moving = moving.withColumn("wants", F.col("to") != F.col("shard")).withColumn("level", F.when(F.col("wants"), F.floor(F.log2(F.col("there"))).cast("int"))).withColumn("fine", F.pmod(F.xxhash64("g", "start"), F.lit(FINE)).cast("int"))
-        queue = moving.where("wants").groupBy("to", "level", "fine").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy("to").orderBy(F.desc("level"), "fine").rowsBetween(Window.unboundedPreceding, 0)
-        room = queue.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(load.withColumnRenamed("shard", "to")), "to", "left")
-        admitted = room.where(F.col("upto") + F.coalesce("load", F.lit(0)) <= quota).select("to", "level", "fine", F.lit(True).alias("ok"))
-        moved = moving.join(F.broadcast(admitted), ["to", "level", "fine"], "left")
-        goes = F.col("wants") & F.coalesce("ok", F.lit(False))
-        after = stage(moved.select("g", "start", "n", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), goes.alias("went")), "shard-cells")
-        if old is not None:
-            drop_stage(state.sparkSession, old)
-        state, old = after, after
-        if after.where("went").limit(1).count() == 0:
+    settled, left, n_left, fine, turn = [], groups, groups.count(), FINE, 0
+    while n_left and max(room) > 0:
+        rooms = F.array(*[F.lit(r).cast("long") for r in room])
+        free = lambda s: F.element_at(rooms, s + 1)
+        prefers = lambda s: F.pmod(F.xxhash64("k", s), F.lit(1 << 30))
+        own = F.array_max(F.transform(F.filter("held", lambda x: free(x["start"]) >= F.col("all")), lambda x: F.struct(x["n"].alias("n"), prefers(x["start"]).alias("p"), x["start"].alias("to"))))["to"]
+        # Others are drawn in proportion to their room; what does not fit there tries the shard with the most.
+        point, drawn, upto = F.pmod(F.xxhash64(F.lit(turn), "k"), F.lit(sum(room))), F.lit(room.index(max(room))), sum(room)
+        for s in reversed(range(len(room))):
+            drawn, upto = F.when((point < upto) & (point >= upto - room[s]), F.lit(s)).otherwise(drawn), upto - room[s]
+        other = F.when(free(drawn) >= F.col("all"), drawn).otherwise(F.lit(room.index(max(room))))
+        asks = left.withColumn("to", F.coalesce(own, other)).withColumns({"level": F.floor(F.log2("all")).cast("int"), "fine": F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(fine)).cast("int")})
+        queue = asks.where(free(F.col("to")) >= F.col("all")).groupBy("to", "level", "fine").agg(F.sum("all").alias("n"))
+        # A bucket that is too large for the room must not use it up: it is out before sums run.
+        sums = Window.partitionBy("to").orderBy(F.desc("level"), "fine").rowsBetween(Window.unboundedPreceding, 0)
+        admitted = queue.where(F.col("n") <= free(F.col("to"))).withColumn("upto", F.sum("n").over(sums)).where(F.col("upto") <= free(F.col("to"))).select("to", "level", "fine", F.lit(True).alias("ok"))
+        goes = (free(F.col("to")) >= F.col("all")) & F.coalesce("ok", F.lit(False))
+        after = stage(asks.join(admitted, ["to", "level", "fine"], "left").select("k", "all", "held", "to", goes.alias("went")), "shard-round")
+        took = after.where("went").groupBy("to").agg(F.sum("all").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
+        turn += 1
+        if took:
+            for r in took:
+                room[r.to] -= r.n
+            n_left -= sum(r.groups for r in took)
+            settled.append(after.where("went").select("k", "held", "to"))
+            left = after.where("not went").select("k", "all", "held")
+            continue
+        drop_stage(groups.sparkSession, after)
+        if fine >= n_left:
             break
-    return state.select("g", "start", "n", "shard")
+        fine *= 16
+    return settled, left
+
+
+def fill_whole(groups: list, room: list[int]) -> tuple[list[tuple], list]:
+    """(a, b, start, to, loose) for every starting shard of the ``groups``, few
+    rows (k, all, held), that find room for all of them, and the other groups:
+    one by one, largest first, where most of it starts."""
+    out, rest = [], []
+    for g in sorted(groups, key=lambda g: (-g["all"], g.k)):
+        here = {h.start: h.n for h in g.held}
+        to = max((s for s in range(len(room)) if room[s] >= g["all"]), key=lambda s: (here.get(s, 0), room[s], -s), default=None)
+        if to is None:
+            rest.append(g)
+        else:
+            room[to] -= g["all"]
+            out += [(g.k.a, g.k.b, h.start, to, 0) for h in g.held]
+    return out, rest
+
+
+def fill_parts(groups: list, room: list[int]) -> list[tuple]:
+    """(a, b, start, to, loose) for every starting shard of ``groups``, few
+    rows (k, all, held) of groups that no shard can take whole: largest first,
+    where there is room for it, by preference with others of its group.  What
+    has no room stays where it starts."""
+    out = []
+    for g in sorted(groups, key=lambda g: (-g["all"], g.k)):
+        here = [0] * len(room)
+        for h in sorted(g.held, key=lambda h: (-h.n, h.start)):
+            to = max((s for s in range(len(room)) if room[s] >= h.n), key=lambda s: (here[s], room[s], s == h.start, -s), default=h.start)
+            room[to] -= h.n
+            here[to] += h.n
+            out.append((g.k.a, g.k.b, h.start, to, 1))
+    return out
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,24 +140,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     total = rows.count()
     quota = total // shards
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, total // (shards * BUCKET_ROWS)))
-    most = max(1, quota)
-    # Groups of two and more, by text and starting shard; unlinked documents stay out of the rounds.
+    want = [quota + (1 if s < total % shards else 0) for s in range(shards)]
+    # Groups of two and more, by text; unlinked documents stay out of the rounds.
     sums = rows.where(F.col("k").isNotNull()).groupBy("k", "start").agg(F.count(F.lit(1)).alias("n"))
-    linked = sums.groupBy("k").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    parts = F.ceil(F.col("all") / most).cast("int")
-    cells = sums.join(linked, "k").select(F.struct("k", F.pmod(F.col("start"), parts).alias("part")).alias("g"), "k", "start", "n", F.col("start").alias("shard"))
-    cells = stage(cells, "shard-linked")
-    moved = propagate(cells.select("g", "start", "n", "shard"), shards, quota)
-    placed = moved.select(F.col("g.k").alias("k"), "start", F.col("shard").alias("to"))
+    linked = stage(sums.groupBy("k").agg(F.sum("n").alias("all"), F.collect_list(F.struct("n", "start")).alias("held")).where(F.col("all") > 1), "shard-linked")
+    room = list(want)
+    large = F.col("all") * LARGE > max(want)
+    # There are at most LARGE large groups to a shard; they go first, before smaller ones have taken a little of every room.
+    whole, cut = fill_whole([g for g in linked.where(large).collect() if g["all"] <= max(want)], room)
+    settled, left = propagate(linked.where(~large), room)
+    # Each of those left is larger than any room, so there are few.
+    cut += left.collect() + linked.where(F.col("all") > max(want)).collect()
+    placed = spark.createDataFrame(whole + fill_parts(cut, room), "a long, b long, start int, to int, loose int").select(F.struct("a", "b").alias("k"), "start", "to", "loose")
+    for part in settled:
+        placed = placed.unionByName(part.select("k", F.explode("held").alias("h"), "to").select("k", F.col("h.start").alias("start"), "to", F.lit(0).alias("loose")))
     joined = rows.join(placed, ["k", "start"], "left")
-    first = stage(joined.select("doc_id", "size", "text_crc32", "k", "bucket", F.coalesce("to", "start").alias("shard"), F.col("to").isNull().cast("int").alias("loose")), "shard-placed")
+    first = stage(joined.select("doc_id", "size", "text_crc32", "k", "bucket", F.coalesce("to", "start").alias("shard"), F.coalesce("loose", F.lit(2)).alias("loose")), "shard-placed")
     drop_stage(spark, rows)
-    # The linked rows of a shard come first, so surplus is taken from the unlinked.
+    # A shard's whole groups come first, then parts of groups, so surplus is taken from the unlinked, then from parts.
     first = first.withColumn("bucket", F.col("loose") * buckets + F.col("bucket") % buckets)
     order = ["doc_id", "k", "size", "text_crc32"]
     counted = _numbered(first, ["shard"], order, "at")
     counts = {r.shard: r["count"] for r in first.groupBy("shard").count().collect()}
-    want = [quota + (1 if s < total % shards else 0) for s in range(shards)]
     surplus, lack, s0, l0 = F.lit(None).cast("long"), [], 0, 0
     for s in range(shards):
         n = counts.get(s, 0)

@@ -74,6 +74,16 @@ def test_sharding(spark, case):
         assert len({r.shard for r in got if r.size == 4}) <= 16 and len({r.shard for r in got if r.size == 3 and r.text_crc32 == zlib.crc32("é".encode())}) <= 5
 
 
+@pytest.mark.parametrize("texts", [["hot"] * 640 + [f"pair {i // 2}" for i in range(360)] + [f"one {i}" for i in range(920)], [f"pair {i // 2}" for i in range(1920)], ["hot"] * 300 + ["hotter"] * 500 + [f"big {i % 9}" for i in range(990)] + [f"pair {i // 2}" for i in range(130)]])
+def test_groups_that_fit_are_whole(spark, texts):
+    got = sharding.shard(docs(spark, list(enumerate(texts))), 16).collect()
+    assert sorted(r.slot for r in got) == sorted(i for s in range(16) for i in range(len(texts) // 16))
+    at = {}
+    for r in got:
+        at.setdefault(texts[r.doc_id], []).append(r.shard)
+    assert all(len(set(s)) == 1 for s in at.values() if len(s) <= len(texts) // 16)
+
+
 # ---- near-duplicates
 
 
