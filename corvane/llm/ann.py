@@ -5,8 +5,12 @@ of several residual codebooks.  Codebooks are fitted on a bounded sample, one
 after another on what the ones before leave; vectors are encoded by beam
 search over all codebooks, and the squared norm of the approximation is kept.
 With it the distance to a query is, up to the query's own norm, the stored norm
-minus twice a sum of looked-up inner products.  The best by that estimate are
-reranked with the original vectors in double precision.
+minus twice a sum of looked-up inner products.  The best by that estimate, with
+all that tie with the last of them, are reranked with the original vectors in
+double precision; so is all that, for what its approximation is wrong by, may
+be nearer than what they gave.  Copies of a vector have one code.  So large
+groups of copies are ranked exactly, and of near copies as many are reranked as
+their codes do not tell apart.
 
 Queries and candidates are packed into blocks of bounded size; every query
 block meets every candidate block once, and only the best few of each meeting
@@ -30,8 +34,10 @@ SAMPLE = 8192
 ROUNDS = 5
 #: Vectors of a candidate block and of a query block.
 BLOCK, QUERY_BLOCK = 8192, 512
-#: Per query and candidate block, as many go to exact reranking.
+#: Per query and candidate block, as many go to exact reranking, besides ties and what codes cannot tell apart.
 RERANK = 200
+#: Standard deviations of a random cosine that an approximation's error may have with the way to a query.
+CHANCE = 4.0
 TOP = 10
 
 
@@ -96,13 +102,26 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, co
     """(query, vec_id, distance): each query's ``top`` best of one block."""
     tables = np.einsum("qd,mkd->qmk", q.astype(np.float32), books)
     x64 = x.astype(np.float64)
+    wrong = np.sqrt(((x64 - sum(books[m][codes[:, m]] for m in range(len(books)))) ** 2).sum(1))
     for i in range(len(q)):
+        q64 = q[i].astype(np.float64)
         estimate = norms - 2 * tables[i][np.arange(len(books))[:, None], codes.T].sum(0)
         estimate[ids == q_ids[i]] = np.inf
         n = min(rerank, len(ids))
-        at = np.argpartition(estimate, n - 1)[:n]
-        at = at[ids[at] != q_ids[i]]
-        d = np.sqrt(((x64[at] - q[i].astype(np.float64)) ** 2).sum(1))
+        # All that tie with the last are in: which of them come first is for the exact distance and vec_id to say.
+        chosen = (estimate <= np.partition(estimate, n - 1)[n - 1]) & (ids != q_ids[i])
+        at = np.flatnonzero(chosen)
+        d = np.sqrt(((x64[at] - q64) ** 2).sum(1))
+        if len(d) >= top:
+            far, own = np.partition(d, top - 1)[top - 1], (q64 * q64).sum()
+            # What may still be nearer, with a margin for single precision: among vectors as near as their
+            # approximations are wrong by the triangle inequality, else for cosines of the two within CHANCE.
+            cosine = np.where(1.5 * wrong >= far, 1.0, min(1.0, CHANCE / np.sqrt(x.shape[1])))
+            square = np.maximum(np.where(np.isfinite(estimate), estimate + own, 0), 0)
+            may = square + wrong**2 - 2 * cosine * wrong * np.sqrt(square) <= far**2 + 1e-5 * (own + norms)
+            may |= (cosine == 1) & (square <= (far + wrong) ** 2 + 1e-5 * (own + norms))
+            more = np.flatnonzero(may & ~chosen & (ids != q_ids[i]))
+            at, d = np.concatenate([at, more]), np.concatenate([d, np.sqrt(((x64[more] - q64) ** 2).sum(1))])
         for j in np.lexsort((ids[at], d))[:top]:
             yield int(q_ids[i]), int(ids[at[j]]), float(d[j])
 
@@ -115,8 +134,11 @@ def build_index(vectors: DataFrame, books: np.ndarray, dim: int, n_blocks: int)
     def pack(key, frame):
         frame = frame.sort_values("vec_id", kind="stable")
         x = np.stack([np.asarray(v, np.float32) for v in frame["embedding"]])
-        codes, norms = zip(*(encode(x[i : i + 1024], held.value) for i in range(0, len(x), 1024)), strict=True)
-        return pd.DataFrame([[key[0], frame["vec_id"].to_numpy("<i8").tobytes(), x.tobytes(), np.concatenate(codes).tobytes(), np.concatenate(norms).astype("<f4").tobytes()]], columns=["block", "ids", "x", "codes", "norms"])
+        # Copies are encoded once, so that their estimates are the same to the last bit.
+        one, of = np.unique(x, axis=0, return_inverse=True)
+        codes, norms = zip(*(encode(one[i : i + 1024], held.value) for i in range(0, len(one), 1024)), strict=True)
+        codes, norms = np.concatenate(codes)[of], np.concatenate(norms)[of]
+        return pd.DataFrame([[key[0], frame["vec_id"].to_numpy("<i8").tobytes(), x.tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]], columns=["block", "ids", "x", "codes", "norms"])
 
     rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
     return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, x binary, codes binary, norms binary")

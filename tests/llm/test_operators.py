@@ -285,6 +285,24 @@ def test_neighbours(spark):
     assert len(few) == 3 and ann.search(frame.limit(0), frame).count() == 0 and ann.search(frame, frame.limit(0)).count() == 0
 
 
+def test_neighbours_among_copies_and_near_copies(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2400, 16)).astype(np.float32)
+    order = rng.permutation(2400)
+    same, near = order[:800], order[800:1400]
+    x[same] = x[same[0]]
+    x[near] = x[near[0]] + rng.normal(scale=1e-3, size=(600, 16)).astype(np.float32)
+    beside = order[1400]
+    x[beside] = x[same[0]] + np.float32(0.01)
+    asked = [int(i) for i in (*same[:8], *near[:8], beside)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(frame, frame.where(F.col("vec_id").isin(asked)), sample=400).collect()
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(2400), d)) if i != q][:10]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(600, 8))
