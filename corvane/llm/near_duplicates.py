@@ -234,7 +234,8 @@ def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILA
             pairs = pairs.join(asked, ["m", "l"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.limit(1).count() == 0:
-            break
+            # Leaders may only have repeated what was asked; the pairwise round still has to run.
+            continue
         asked = pairs if asked is None else asked.unionByName(pairs)
         classes = merged(classes, stage(verify(pairs, texts, similarity), "verified"))
     return classes if classes is not None else bands_2.select("id", F.col("id").alias("root")).limit(0)

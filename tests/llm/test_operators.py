@@ -132,6 +132,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.near_duplicates(frame.limit(0)).count() == 0 and near_duplicates.drop_near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_pairwise_round_runs_after_leaders_that_repeat(spark, monkeypatch):
+    rng = random.Random(15)
+    base = prose(rng, 60)
+    offered = [base + " end", base + " stop"] + [prose(rng, 60) for _ in range(40)]
+    ids = [(r.id.a, r.id.b) for r in docs(spark, list(enumerate(offered))).orderBy("doc_id").select(near_duplicates.text_id(F.col("text")).alias("id")).collect()]
+    # One band for all; a dissimilar text leads it in both rounds, by the least id and by a band whose hash prefers it.
+    least = min(range(len(ids)), key=ids.__getitem__)
+    assert least > 1
+    texts, ids = [*offered[:2], offered[least]], [*ids[:2], ids[least]]
+    by = spark.range(200).select(F.col("id").alias("band"), *[F.xxhash64("id", F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")), F.lit(1)).alias(f"h{i}") for i, (a, b) in enumerate(ids)])
+    band = by.where("h2 < h0 and h2 < h1").first().band
+    frame = docs(spark, list(enumerate(texts)))
+    monkeypatch.setattr(near_duplicates, "banded", lambda d, text: d.select(F.lit(band).cast("long").alias("band"), near_duplicates.text_id(F.col(text)).alias("id")))
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_signatures_estimate_the_similarity():
     rng, est = np.random.default_rng(2), []
     for _ in range(150):
