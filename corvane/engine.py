@@ -32,7 +32,7 @@ MAX_QUESTION, MAX_TOP_K = 4000, 50
 FEEDBACK = "id string, rating int, at timestamp"
 MODES = {
     "dense": (("dense",), "none"), "sparse": (("sparse",), "none"), "exact": (("exact",), "none"), "trigram": (("trigram",), "none"),
-    "hybrid": (search.PATHS, "none"), "hybrid+rerank": (search.PATHS, "rules"),
+    "hybrid": (search.PATHS, "none"), "hybrid+rerank": (search.PATHS, "rules"), "hybrid+llm": (search.PATHS, "llm"),
 }
 
 
@@ -124,7 +124,7 @@ class Engine:
         named = analyze(said, self.glossary).products if products is None else products
         chunks, docs = self._tables()
         asked = self.spark.createDataFrame([("q", said)], "query_id string, question string")
-        find = lambda only, n: answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(only or None, who.visible_groups, document_ids), self.settings, self.glossary, paths, n)
+        find = lambda only, n: answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(only or None, who.visible_groups, document_ids), self.settings, self.glossary, paths, n, self.generator)
         if len(named) < 2:
             return find(named, k)
         each = search.per_product(k, len(named))
@@ -246,7 +246,7 @@ class Engine:
         for mode in modes or list(MODES):
             paths, rerank = MODES[mode]
             s = Settings(**{**self.settings.__dict__, "rerank_provider": rerank})
-            hits = answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(), s, self.glossary, paths, top_k)
+            hits = answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(), s, self.glossary, paths, top_k, self.generator)
             part = evaluate.retrieval_report(evaluate.scores(asked, hits, gold)).select(F.lit(mode).alias("mode"), "metric", "value")
             out = part if out is None else out.unionByName(part)
         return out

@@ -70,18 +70,19 @@ def generated(provider: Generator, system: Column, prompt: Column) -> Column:
     return run(system, prompt)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embedder: Embedder, filters: search.Filters | None = None, settings: Settings | None = None, glossary: Glossary = DEFAULT_GLOSSARY, paths=None, top_k: int | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embedder: Embedder, filters: search.Filters | None = None, settings: Settings | None = None, glossary: Glossary = DEFAULT_GLOSSARY, paths=None, top_k: int | None = None, provider: Generator | None = None) -> DataFrame:
     """The ranked hits of each question (query_id, question).
 
-    Search widens to the rerank list, rules rerank all of it, then the list is
-    diversified to ``top_k``; table rows get their neighbours."""
+    Search widens to the rerank list, rules or, by setting, the ``provider``
+    rerank all of it, then the list is diversified to ``top_k``; table rows get
+    their neighbours."""
     s = settings or Settings()
     k = top_k or s.search_top_k
     asked = questions.select("query_id", "question", analyzed(F.col("question"), glossary, s.query_expansion).alias("a"))
     asked = asked.select("query_id", "question", "a.products", "a.identifiers", "a.terms", "a.intent", embedded(F.col("question"), embedder, s.embed_batch_size, strict=False).alias("vector"), F.array_join("a.terms", " ").alias("trigram_text"))
     found = search.hybrid(asked, chunks, documents, filters or search.Filters(), s, paths)
     wide = found.where(F.col("rank") <= max(k, s.rerank_candidates))
-    ranked = ranking.reranker(s.rerank_provider)(asked, wide, max(k, s.rerank_candidates))
+    ranked = ranking.reranker(s.rerank_provider, provider)(asked, wide, max(k, s.rerank_candidates))
     final = ranking.diversify(ranked, k, s.near_dup_similarity, s.section_cap)
     return search.neighbours(final, chunks, s.neighbor_window)
 

@@ -15,6 +15,8 @@ from corvane.functions import text as T
 WEIGHTS = {"ident": 3.0, "product": 1.5, "terms": 1.5, "key": 1.6, "section": 1.0, "kind": 0.8, "agree": 0.6, "retrieval": 2.0}
 # ---- End of fixed values. ----
 
+ORDER_RULES = "Order the numbered excerpts by how well they answer the question: direct answers first, other products last, asked values before texts without them. Reply with all numbers, each once, separated by commas, and nothing else."
+
 
 def discriminating(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, idents, terms): lower-cased and only those that occur in any
@@ -87,11 +89,19 @@ def listwise(hits: DataFrame, question: str, generate: Callable[[str], str], top
     return hits.groupBy("query_id").applyInPandas(run, hits.schema)
 
 
-def reranker(name: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+def reranker(name: str, provider=None) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """By name; ``llm`` asks ``provider``, a Generator."""
     if name in ("none", "off", ""):
         return lambda questions, hits, top_k: hits.where(F.col("rank") <= top_k)
     if name == "rules":
         return rules
+    if name == "llm" and provider is not None:
+
+        def by_model(questions: DataFrame, hits: DataFrame, top_k: int) -> DataFrame:
+            asked = hits.join(questions.select("query_id", F.col("question").alias("__question")), "query_id")
+            return listwise(asked, "__question", lambda prompt: provider.generate(ORDER_RULES, prompt), top_k).drop("__question")
+
+        return by_model
     raise ValueError(f"unknown reranker {name!r}")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.engine import MODES
 from corvane.functions.embedding import EchoGenerator, HashEmbedder, embedded
 from corvane.operators import answering, evaluate, governance, ranking, search
 from corvane.settings import Settings
@@ -61,6 +62,21 @@ def test_rules_prefer_the_product_and_table_rows(spark):
     assert order(ranking.rules(questions(spark), zero, 2)) == [1, 2]
 
 
+class Backwards:
+    name = "backwards"
+
+    def generate(self, system: str, prompt: str) -> str:
+        assert system and prompt.startswith("memory?\n\n[1] ")
+        return "2, 1"
+
+
+def test_model_reranker_is_registered(spark):
+    rows, asked = hits(spark, {"id": 1, "content": "a"}, {"id": 2, "content": "b"}), questions(spark).withColumn("question", F.lit("memory?"))
+    got = ranking.reranker("llm", Backwards())(asked, rows, 2)
+    assert order(got) == [2, 1] and got.columns == rows.columns
+    assert MODES["hybrid+llm"][1] == "llm"
+
+
 def test_absent_terms_leave_the_denominator(spark):
     got = ranking.discriminating(questions(spark, terms=["Weight", "무게"], identifiers=["X9"]), hits(spark, {"id": 1, "content": "weight: 42"})).first()
     assert got.terms == ["weight"] and got.idents == ["x9"]
