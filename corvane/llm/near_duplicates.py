@@ -7,10 +7,17 @@ agree in a register with the probability Jaccard similarity of the texts.
 Arrivals of a shingle stop once they are later than every register's best.
 
 Registers are grouped into bands; distinct texts that share a band are
-candidates.  A band's texts are compared with one leader of the band, not with
-each other, in rounds with other leaders until every band holds one component
-or its texts have all been compared; pairs are verified exactly on the whole
-texts, and classes are the connected components of the verified links.
+candidates.  A band's texts are first compared with one leader of the band, in
+two rounds, not with each other; a band whose texts are then in one component
+is done.  Of the other bands small ones are compared pairwise.  The texts of a
+crowded one are told apart by their differences from its leader: texts x and y
+of at least the similarity have symmetric differences from the leader that
+are nearly the same, so all but a bounded number of the shingles in the one
+must be in the other (see ``most_apart``).  An ordered prefix of each
+difference is joined, and a pair is a candidate only if the places at which
+its prefixes meet leave room for enough common ones.  No pair of at least the
+similarity is lost by that.  All candidates are verified exactly on the whole
+texts; classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -24,16 +31,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import drop_stage, kept_by_worker, mix, small_batches, stage, words
+from corvane.llm.shared import Staged, drop_stage, kept_by_worker, mix, small_batches, stage, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 25 bands of 5 registers: a pair at the threshold shares a band with
 #: probability 1 - (1 - 0.8^5)^25 = 0.99995.
 BANDS, ROWS = 25, 5
-#: Rounds with one leader a band; what is still apart then is compared pairwise.
-LEADER_ROUNDS = 2
+#: A band of more texts is crowded.
+CROWD = 48
 #: Comparisons with one leader are split into parts of about so many.
 PART = 2000
+#: Rows that repeat an id and a text are told in runs of so many.
+RUN = 10_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +118,7 @@ def text_id(text: Column) -> Column:
 
 
 def banded(docs: DataFrame, text: str) -> DataFrame:
-    """(band, id): the bands of every distinct text with words."""
+    """(band, id, copies): the bands of every distinct text with words, and the rows that have it."""
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,41 +135,133 @@ def banded(docs: DataFrame, text: str) -> DataFrame:
 
     rows = docs.select(text_id(F.col(text)).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull()).select("id.a", "id.b", "t")
     signed = rows.mapInPandas(sign, "a long, b long, keys array<long>")
-    return signed.select(F.explode("keys").alias("band"), F.struct("a", "b").alias("id")).groupBy("band", "id").agg(F.lit(1).alias("one")).select("band", "id")
+    return signed.select(F.explode("keys").alias("band"), F.struct("a", "b").alias("id")).groupBy("band", "id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (m, l) whose texts are similar enough.  ``texts`` has (id,
-    t).  A leader with many members has its text sent to parts of them."""
+def both_texts(pairs: DataFrame, texts: DataFrame, part: int = PART) -> DataFrame:
+    """(ma, mb, la, lb, tm, tl) and the other columns of ``pairs`` (m, l, ...).
+    ``texts`` has (id, t).  A leader l with more than ``part`` members has its
+    text sent to parts of them."""
+    more = [c for c in pairs.columns if c not in ("m", "l")]
     counts = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     ends = lambda id_, t: texts.select(F.col("id").alias(id_), F.col("t").alias(t))
     own = pairs.join(ends("m", "tm"), "m")
-    if counts.where(F.col("n") > PART).limit(1).count() == 0:
+    if counts.where(F.col("n") > part).limit(1).count() == 0:
         both = own.join(ends("l", "tl"), "l")
     else:
-        parts = counts.select("l", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+        parts = counts.select("l", F.ceil(F.col("n") / part).cast("int").alias("parts"))
         led = parts.select("l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(ends("l", "tl"), "l")
         many = parts.where("parts > 1")
         both = own.join(many, "l", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("m"), F.col("parts")), F.lit(0)).cast("int")).join(led, ["l", "part"])
+    return both.select(F.col("m.a").alias("ma"), F.col("m.b").alias("mb"), F.col("l.a").alias("la"), F.col("l.b").alias("lb"), "tm", "tl", *more)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: OrderedDict = OrderedDict()
 
-        def leader(key, t):
-            if key not in recent:
-                if len(recent) >= 64:
-                    recent.popitem(last=False)
-                recent[key] = shingles(t)
-            return recent[key]
+class Recent:
+    """The shingles of the texts met last: a leader's are made once."""
+
+    def __init__(self, most: int = 64):
+        self.kept, self.most = OrderedDict(), most
+
+    def __call__(self, key: tuple, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self.kept:
+            if len(self.kept) >= self.most:
+                self.kept.popitem(last=False)
+            self.kept[key] = shingles(text)
+        return self.kept[key]
+
+
+def _ends(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.struct(F.col("ma").alias("a"), F.col("mb").alias("b")).alias("m"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("l"), *more)
+
 
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """The ``pairs`` (m, l) whose texts are similar enough."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("near-duplicates", dict)
+        leader = Recent()
         for b in batches:
-            rows = list(b.itertuples(index=False))
-            keep = [probability_jaccard(shingles(r.tm), leader((r.la, r.lb), r.tl)) >= similarity - 1e-9 for r in rows]
+            keep = [probability_jaccard(shingles(r.tm), leader((r.la, r.lb), r.tl)) >= similarity - 1e-9 for r in b.itertuples(index=False)]
             yield b.loc[keep, ["ma", "mb", "la", "lb"]]
 
-    flat = both.select(F.col("m.a").alias("ma"), F.col("m.b").alias("mb"), F.col("l.a").alias("la"), F.col("l.b").alias("lb"), "tm", "tl")
-    found = flat.mapInPandas(check, "ma long, mb long, la long, lb long")
-    return found.select(F.struct(F.col("ma").alias("a"), F.col("mb").alias("b")).alias("m"), F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("l"))
+    return _ends(both_texts(pairs, texts, part).mapInPandas(check, "ma long, mb long, la long, lb long"))
+
+
+def most_apart(x: Column, y: Column, similarity: float) -> Column:
+    """How many shingles two texts of at least ``similarity`` t can have that
+    are not in both; x and y are their total weights.
+
+    Let a be the share of x's weight that is outside y and b the other way
+    round.  A common shingle i with shares p of x and q of y counts at most
+    1 / (1/p + b/q), which is concave and homogeneous, so the similarity is at
+    most (1-a)(1-b) / (1-ab).  No weight is below 1, so not more than ax + by
+    shingles are outside; that is largest, under the similarity being t, at the
+    value returned.
+    """
+    t = similarity
+    inner = (x + y - 2 * t * F.sqrt(x * y)) / (1 + t)
+    return F.when((y >= t * t * x) & (x >= t * t * y), inner).otherwise((1 - t) * F.greatest(x, y)) + 1e-6
+
+
+def totals(texts: DataFrame) -> DataFrame:
+    """(id, weight, size): the sum of a text's weights and its shingles."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("near-duplicates", dict)
+        for b in batches:
+            found = [shingles(t)[1] for t in b["t"]]
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "weight": [float(w.sum()) for w in found], "size": [len(w) for w in found]})
+
+    found = texts.select("id.a", "id.b", "t").mapInPandas(add, "a long, b long, weight double, size long")
+    return found.select(F.struct("a", "b").alias("id"), "weight", "size")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, part: int = PART) -> DataFrame:
+    """(m, l, apart, first) for ``pairs`` (m, l, most): how many shingles are in
+    one text only and, in one order for all texts of a leader, the first
+    ``most`` of them: what m has more, by hash, then what it lacks."""
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("near-duplicates", dict)
+        leader = Recent()
+        for b in batches:
+            apart, first = [], []
+            for r in b.itertuples(index=False):
+                x, y = shingles(r.tm)[0], leader((r.la, r.lb), r.tl)[0]
+                d = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+                apart.append(len(d))
+                first.append(d[: int(r.most)].view(np.int64))
+            yield pd.DataFrame({"ma": b["ma"], "mb": b["mb"], "la": b["la"], "lb": b["lb"], "apart": apart, "first": first})
+
+    return _ends(both_texts(pairs, texts, part).mapInPandas(tell, "ma long, mb long, la long, lb long, apart long, first array<long>"), "apart", "first")
+
+
+def crowded_pairs(members: DataFrame, texts: DataFrame, staged: Staged, similarity: float, part: int = PART) -> DataFrame:
+    """(m, l): all pairs of texts with one leader that can be similar enough and
+    are in different components.  ``members`` has (id, c, l, lc): a text, its
+    component, its leader, the leader's component; ``texts`` has (id, t)."""
+    t = similarity - 1e-9
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
+    sized = staged(members.join(totals(wanted), "id"), "sized")
+    # A text's partner weighs at most ``wide`` times as much, by how much a leader's texts repeat themselves.
+    repeat = sized.groupBy("l").agg(F.max(F.col("weight") / F.col("size")).alias("repeat"))
+    wide = F.when(1 / F.col("repeat") > 1 - t + 1e-3, 1 / (1 / F.col("repeat") - (1 - t))).otherwise(F.lit(float(1 << 30)))
+    bound = F.least(F.floor(F.col("weight") * wide * (2 * (1 - t) / (1 + t)) + 1e-6), F.lit(1 << 30)) + 1
+    sized = sized.join(repeat, "l").withColumn("most", bound).drop("repeat")
+    told = differences(sized.select(F.col("id").alias("m"), "l", "most"), texts, part).withColumnRenamed("m", "id")
+    told = staged(sized.join(told, ["id", "l"]), "differences")
+    keyed = told.select("l", "id", "c", "weight", "apart", F.posexplode("first").alias("at", "shingle"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    room = 1 + F.least(F.col("x.apart") - F.col("x.at") - 1, F.col("y.apart") - F.col("y.at") - 1)
+    bound = most_apart(F.col("x.weight"), F.col("y.weight"), t)
+    differ = F.col("x.apart") + F.col("y.apart")
+    meet = (F.col("x.l") == F.col("y.l")) & (F.col("x.c") != F.col("y.c"))
+    ends = lambda df: df.select(F.col("x.id").alias("m"), F.col("y.id").alias("l"))
+    by_shingle = ends(x.join(y, meet & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") > F.col("y.id")) & (differ - 2 * room <= bound)))
+    # Texts so near to their leader that they need nothing in common: those in its component are together already.
+    near = told.where("apart < most").select("l", "lc", "id", "c", "weight", "apart")
+    far, other = near.where("c != lc").alias("x"), near.alias("y")
+    return by_shingle.unionByName(ends(far.join(other, meet & (differ <= bound))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,53 +293,68 @@ def _stars(edges: DataFrame) -> bool:
     return both.where("up > 1 or (up > 0 and down > 0)").limit(1).count() == 0
 
 
-def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(classes: DataFrame | None, links: DataFrame, staged: Staged) -> DataFrame:
     """``classes`` (id, root) joined up by new ``links`` (m, l): only the roots
     that links connect are worked on."""
     if classes is None:
-        return stage(components(links), "classes")
+        return staged(components(links), "classes")
     end = lambda name: classes.select(F.col("id").alias(name), F.col("root").alias(f"r{name}"))
     up = links.join(end("m"), "m", "left").join(end("l"), "l", "left").select(F.coalesce("rm", "m").alias("m"), F.coalesce("rl", "l").alias("l"))
-    moved = stage(components(up), "roots")
+    moved = staged(components(up), "roots")
     old = classes.join(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
-    return stage(old.unionByName(moved.join(classes, "id", "left_anti")), "classes")
+    return staged(old.unionByName(moved.join(classes, "id", "left_anti")), "classes")
 
 
-def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def text_classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, crowd: int = CROWD, part: int = PART) -> DataFrame:
     """(id, root) of every distinct text that is linked to another one."""
-    bands = stage(banded(docs, text), "bands")
+    staged = Staged()
+    bands = staged(banded(docs, text), "bands")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    bands_2 = stage(bands.join(shared, "band"), "bands-shared")
-    drop_stage(docs.sparkSession, bands)
-    wanted = bands_2.select("id").distinct()
+    met = staged(bands.join(shared, "band"), "bands-shared")
+    staged.drop(bands)
+    wanted = met.select("id").distinct()
     texts = docs.select(text_id(F.col(text)).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    texts = stage(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")), "texts")
+    texts = staged(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")), "texts")
     asked, classes = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        if classes is None:
-            rows = bands_2.withColumn("c", F.col("id"))
-        else:
-            rows = bands_2.join(classes, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-            mixed = rows.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("band")
-            rows = rows.join(mixed, "band")
-        if turn < LEADER_ROUNDS:
-            # Round 0 takes a band's least text, so a class has few leaders; later rounds one by the band's own hash.
-            by = F.struct(F.lit(0).alias("h"), "id", "c") if turn == 0 else F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "c")
-            led = rows.groupBy("band").agg(F.min(by).alias("x")).select("band", F.col("x.id").alias("l"), F.col("x.c").alias("lc"))
-            pairs = rows.join(led, "band").where("id != l" if turn == 0 else "c != lc").select(F.col("id").alias("m"), "l")
-        else:
-            # All pairs of texts that share a band but not a component.
-            pairs = rows.alias("x").join(rows.alias("y"), "band").where("x.id > y.id and x.c != y.c").select(F.col("x.id").alias("m"), F.col("y.id").alias("l"))
+
+    def mixed() -> DataFrame:
+        """(band, id, copies, c, n): the bands of more than one component, n texts in each."""
+        rows = met.join(classes, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+        apart = rows.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 != c2").select("band", "n")
+        return staged(rows.join(apart, "band"), "bands-mixed")
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal asked, classes
         pairs = pairs.select(F.greatest("m", "l").alias("m"), F.least("m", "l").alias("l")).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["m", "l"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            # Leaders may only have repeated what was asked; the pairwise round still has to run.
-            continue
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        classes = merged(classes, stage(verify(pairs, texts, similarity), "verified"))
-    return classes if classes is not None else bands_2.select("id", F.col("id").alias("root")).limit(0)
+        pairs = staged(pairs if asked is None else pairs.join(asked, ["m", "l"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            asked = pairs if asked is None else asked.unionByName(pairs)
+            classes = merged(classes, staged(verify(pairs, texts, similarity, part), "verified"), staged)
+
+    # Round 0: a band's text with the most copies, then the least, so that a class has few leaders.
+    led = met.groupBy("band").agg(F.min(F.struct((-F.col("copies")).alias("x"), "id")).alias("x")).select("band", F.col("x.id").alias("l"))
+    compare(met.join(led, "band").where("id != l").select(F.col("id").alias("m"), "l"))
+    if classes is None:
+        staged.drop()
+        return docs.select(text_id(F.col(text)).alias("id")).select("id", F.col("id").alias("root")).limit(0)
+    # Round 1: the text that shares most with others, and so is most like them all.
+    rows = mixed()
+    weight = rows.groupBy("id").agg(F.sum("n").alias("w"))
+    led = rows.join(weight, "id").groupBy("band").agg(F.min(F.struct((-F.col("w")).alias("x"), "id", "c")).alias("x"))
+    led = staged(led.select("band", F.col("x.id").alias("l"), F.col("x.c").alias("lc")), "leaders")
+    compare(rows.join(led, "band").where("c != lc").select(F.col("id").alias("m"), "l"))
+    staged.drop(rows)
+    rows = mixed()
+    small = rows.where(F.col("n") <= crowd)
+    pairs = small.alias("x").join(small.alias("y"), "band").where("x.id > y.id and x.c != y.c").select(F.col("x.id").alias("m"), F.col("y.id").alias("l"))
+    many = rows.where(F.col("n") > crowd)
+    if many.limit(1).count():
+        leads = led.select("band", "l").join(classes.select(F.col("id").alias("l"), F.col("root").alias("lc")), "l", "left").select("band", "l", F.coalesce("lc", "l").alias("lc"))
+        members = many.join(leads, "band").where("id != l").select("id", "c", "l", "lc").distinct()
+        pairs = pairs.unionByName(crowded_pairs(members, texts, staged, similarity, part))
+    compare(pairs)
+    staged.drop(*[d for d in staged.made if d is not classes])
+    return classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -261,7 +377,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "id")).alias("f")).select("root", "f.doc_id", F.col("f.id").alias("fid"))
     joined = held.join(first.withColumnRenamed("doc_id", "class_id"), "root")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("fid"))
-    told = joined.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), stays.alias("stays"))
+    # Repeated rows come back one by one, from runs of bounded length.
+    runs = joined.select("doc_id", "class_id", "n", stays.alias("stays"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("run"))
+    told = runs.select("doc_id", "class_id", "stays", F.explode(F.sequence(F.col("run") + 1, F.least(F.col("run") + RUN, F.col("n")))).alias("copy"))
     return told.select("doc_id", "class_id", (F.col("stays") & (F.col("copy") == 1)).alias("kept")).unionByName(null)
 
 
@@ -283,4 +401,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row of ``documents``; see ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -68,6 +68,23 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Staged:
+    """``stage`` that remembers what it wrote, to delete it once it is used up."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.made.append(stage(df, label))
+        return self.made[-1]
+
+    def drop(self, *used: DataFrame) -> None:
+        """Delete ``used``; all, if none is named."""
+        for df in used or self.made:
+            drop_stage(df.sparkSession, df)
+        self.made = [d for d in self.made if used and all(d is not u for u in used)]
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, since whole texts can be very long, and
     let Python workers import this package from where the driver has it."""

@@ -132,21 +132,75 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.near_duplicates(frame.limit(0)).count() == 0 and near_duplicates.drop_near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_pairwise_round_runs_after_leaders_that_repeat(spark, monkeypatch):
-    rng = random.Random(15)
-    base = prose(rng, 60)
-    offered = [base + " end", base + " stop"] + [prose(rng, 60) for _ in range(40)]
-    ids = [(r.id.a, r.id.b) for r in docs(spark, list(enumerate(offered))).orderBy("doc_id").select(near_duplicates.text_id(F.col("text")).alias("id")).collect()]
-    # One band for all; a dissimilar text leads it in both rounds, by the least id and by a band whose hash prefers it.
-    least = min(range(len(ids)), key=ids.__getitem__)
-    assert least > 1
-    texts, ids = [*offered[:2], offered[least]], [*ids[:2], ids[least]]
-    by = spark.range(200).select(F.col("id").alias("band"), *[F.xxhash64("id", F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")), F.lit(1)).alias(f"h{i}") for i, (a, b) in enumerate(ids)])
-    band = by.where("h2 < h0 and h2 < h1").first().band
+def one_band(monkeypatch):
+    """All texts with words share a single band."""
+    alike = lambda d, text: d.where(F.length(text) > 0).groupBy(F.lit(1).cast("long").alias("band"), near_duplicates.text_id(F.col(text)).alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    monkeypatch.setattr(near_duplicates, "banded", alike)
+
+
+def partition(spark, texts, **limits):
+    """The classes of texts as sets, from ``text_classes``."""
     frame = docs(spark, list(enumerate(texts)))
-    monkeypatch.setattr(near_duplicates, "banded", lambda d, text: d.select(F.lit(band).cast("long").alias("band"), near_duplicates.text_id(F.col(text)).alias("id")))
-    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(frame).collect()}
-    assert got == {0: 0, 1: 0, 2: 2}
+    ids = frame.select("doc_id", near_duplicates.text_id(F.col("text")).alias("id"))
+    by = {}
+    for r in ids.join(near_duplicates.text_classes(frame, **limits), "id", "left").collect():
+        by.setdefault(r.root or r.id, set()).add(texts[r.doc_id])
+    return sorted(map(sorted, by.values()))
+
+
+def brute_partition(texts):
+    sets = [near_duplicates.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if texts[i] == texts[j] or near_duplicates.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault(find(i), set()).add(t)
+    return sorted(map(sorted, by.values()))
+
+
+def test_similar_pair_is_linked_behind_a_dissimilar_leader(spark, monkeypatch):
+    rng = random.Random(15)
+    base, odd = prose(rng, 60), prose(rng, 60)
+    texts = [odd] * 3 + [base + " end", base + " stop"]  # the odd one has most copies, and leads
+    one_band(monkeypatch)
+    assert partition(spark, texts) == partition(spark, texts, crowd=1) == sorted([[odd], sorted(texts[3:])])
+
+
+@pytest.mark.parametrize("seed", [21])
+def test_crowded_band_equals_brute_force(spark, monkeypatch, seed):
+    rng, texts = random.Random(seed), []
+    bases = [prose(rng, 70), prose(rng, 70), prose(rng, 20) + " again and again " * 4 + prose(rng, 30)]
+    for i in range(110):
+        copy = rng.choice([*bases, bases[0], *texts[-30:]]).split()  # copies of copies make chains
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = rng.choice([[], ["typo"], [f"t{i}"], copy[at : at + 4]])
+        texts.append(" ".join(copy * (2 if rng.random() < 0.1 else 1)))
+    texts += [prose(rng, 60) for _ in range(6)] + ["a b", "a b c"]
+    want = brute_partition(texts)
+    assert 8 < len(want) < len(set(texts)) and max(map(len, want)) > 10
+    one_band(monkeypatch)
+    assert partition(spark, texts, crowd=3, part=7) == want
+
+
+def test_no_similar_pair_is_more_apart_than_the_bound(spark):
+    rng = np.random.default_rng(23)
+    for t in (0.5, 0.8, 0.95):
+        seen = []
+        for _ in range(1500):
+            n = rng.integers(1, 60)
+            x = 1 + np.log(rng.integers(1, 4 if rng.random() < 0.5 else 2, n))
+            y = np.where(rng.random(n) < 0.8, x, 1 + np.log(rng.integers(1, 5, n)))
+            x, y = (v * (rng.random(n) > rng.choice([0.02, 0.1, 0.3])) for v in (x, y))
+            i, j = np.flatnonzero(x), np.flatnonzero(y)
+            if len(i) and len(j) and near_duplicates.probability_jaccard((i, x[i]), (j, y[j])) >= t:
+                seen.append((float(x.sum()), float(y.sum()), int(((x > 0) ^ (y > 0)).sum())))
+        frame = spark.createDataFrame(seen, "x double, y double, apart int")
+        assert len(seen) > 50 and frame.where(F.col("apart") > near_duplicates.most_apart(F.col("x"), F.col("y"), t)).count() == 0
 
 
 def test_signatures_estimate_the_similarity():
