@@ -121,19 +121,10 @@ class Engine:
         self._admit(who)
         k = top_k or self.settings.search_top_k
         said = self._valid(question, k)
-        named = analyze(said, self.glossary).products if products is None else products
         chunks, docs = self._tables()
         asked = self.spark.createDataFrame([("q", said)], "query_id string, question string")
-        find = lambda only, n: answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(only or None, who.visible_groups, document_ids), self.settings, self.glossary, paths, n, self.generator)
-        if len(named) < 2:
-            return find(named, k)
-        each = search.per_product(k, len(named))
-        rows = None
-        for i, p in enumerate(named):
-            part = find([p], each).withColumn("product_no", F.lit(i))
-            rows = part if rows is None else rows.unionByName(part)
-        order = search.interleave(rows, k).withColumnRenamed("rank", "__rank")
-        return rows.dropDuplicates(["query_id", "chunk_id"]).join(order, ["query_id", "chunk_id"]).withColumn("rank", F.col("__rank")).drop("__rank", "product_no")
+        filters = search.Filters(products, who.visible_groups, document_ids)
+        return answering.retrieve(asked, chunks, docs, self.embedder, filters, self.settings, self.glossary, paths, k, self.generator)
 
     def ask(self, who: Principal, question: str, top_k: int | None = None, use_documents: bool = True, **filters) -> dict:
         began = time.monotonic()

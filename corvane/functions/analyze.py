@@ -24,11 +24,12 @@ KO_STOPWORDS = frozenset({
     "알려", "주세요", "해주세요", "있나요", "하나요", "인가요", "입니까", "입니다", "합니까", "됩니까", "대해", "대한", "관해", "관한", "경우", "때문", "그리고",
     "또는", "또한", "그러나", "하지만", "이것", "그것", "저것", "여기", "거기", "비교해", "설명해", "정리해", "찾아", "보여", "가능한", "가능", "관련",
 })
+HANGUL = "[가-힣]+"
+ASCII = r"[A-Za-z][A-Za-z0-9./\-]{1,}"
+VERSION = r"^[Vv]\d+$"
 # ---- End of fixed values. ----
 
-_HANGUL = re.compile("[가-힣]+")
-_ASCII = re.compile(r"[A-Za-z][A-Za-z0-9./\-]{1,}")
-_VERSION = re.compile(r"^[Vv]\d+$")
+_HANGUL, _ASCII = re.compile(HANGUL), re.compile(ASCII)
 _IDENTIFIER = regex.compile(T.IDENTIFIER.replace("(?iU)", "(?i)"))
 _MODEL = regex.compile(T.MODEL.replace("(?U)", ""))
 _PARTICLE_END = re.compile("(?s)(.+?)(?:" + "|".join(sorted(T.PARTICLES, key=lambda p: (-len(p), p))) + ")")
@@ -93,30 +94,6 @@ class Analyzed:
     terms: list[str]
     intent: str
 
-    def _distinct_of_model(self, values: list[str]) -> list[str]:
-        parts = {x.lower() for p in self.products for x in p.split()}
-        return [v for v in values if v.lower() not in parts and not _VERSION.match(v)]
-
-    def sparse_terms(self, filtered: bool) -> list[str]:
-        """Terms to OR; without the model's own parts under a product filter,
-        unless nothing else is left."""
-        return (self._distinct_of_model(self.terms) or self.terms) if filtered else self.terms
-
-    def exact_identifiers(self) -> list[str]:
-        return self._distinct_of_model(self.identifiers)
-
-    def websearch_or(self, filtered: bool = False) -> str:
-        return " OR ".join(f'"{t}"' if " " in t else t for t in self.sparse_terms(filtered))
-
-    def websearch_exact(self) -> str:
-        return " ".join(f'"{t}"' if " " in t else t for t in self.exact_identifiers())
-
-    def trigram_text(self) -> str:
-        """Terms of the question's own script."""
-        ascii_question = bool(_ASCII.search(self.raw))
-        chosen = [t for t in self.terms if bool(_HANGUL.search(t)) != ascii_question]
-        return " ".join(chosen or self.terms) or self.raw
-
 
 class _Terms:
     """An ordered list without repeats or words that say nothing."""
@@ -176,3 +153,30 @@ def analyzed(question: Column, glossary: Glossary = DEFAULT_GLOSSARY, expand: bo
             yield pd.DataFrame([(a.raw, a.products, a.identifiers, a.terms, a.intent) for a in got], columns=["raw", "products", "identifiers", "terms", "intent"])
 
     return run(question)
+
+
+def beside_model(words: Column, products: Column) -> Column:
+    """The words that are no part of a product's name and no bare version."""
+    parts = F.flatten(F.transform(products, lambda p: F.split(F.lower(p), r"\s+")))
+    return F.filter(words, lambda w: ~F.array_contains(parts, F.lower(w)) & ~w.rlike(VERSION))
+
+
+def sparse_terms(terms: Column, products: Column, filtered: Column) -> Column:
+    """What the sparse path looks for: under a product filter every chunk has
+    the model's name, so it is left out, unless nothing else is left."""
+    others = beside_model(terms, products)
+    return F.when(filtered & (F.size(others) > 0), others).otherwise(terms)
+
+
+def trigram_text(question: Column, terms: Column) -> Column:
+    """Terms of the question's own script: others would only dilute the
+    similarity.  All terms if it has none of its own, the question without any."""
+    foreign = question.rlike(ASCII)
+    own = F.filter(terms, lambda t: t.rlike(HANGUL) != foreign)
+    text = F.array_join(F.when(F.size(own) > 0, own).otherwise(terms), " ")
+    return F.when(text != "", text).otherwise(question)
+
+
+def websearch(words: Column, joined_by: str) -> Column:
+    """One string for a web-search parser; words with blanks are phrases."""
+    return F.array_join(F.transform(words, lambda w: F.when(F.contains(w, F.lit(" ")), F.concat(F.lit('"'), w, F.lit('"'))).otherwise(w)), joined_by)

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.analyze import DEFAULT_GLOSSARY, Glossary, analyze, analyzed
+from corvane.functions.analyze import DEFAULT_GLOSSARY, Glossary, analyze, analyzed, beside_model, sparse_terms, trigram_text
 from corvane.functions.embedding import Embedder, Generator, embedded
 from corvane.operators import ranking, search
 from corvane.settings import Settings
@@ -70,29 +70,67 @@ def generated(provider: Generator, system: Column, prompt: Column) -> Column:
     return run(system, prompt)
 
 
+def prepared(questions: DataFrame, embedder: Embedder, filters: search.Filters, settings: Settings, glossary: Glossary) -> DataFrame:
+    """``questions`` (query_id, question) analysed, with what each path looks
+    for and ``limits``: the filters' products or, without any, those that the
+    question names."""
+    a = questions.select("query_id", "question", analyzed(F.col("question"), glossary, settings.query_expansion).alias("a"))
+    limits = F.col("a.products") if filters.products is None else F.array(*map(F.lit, filters.products)).cast("array<string>")
+    return a.select(
+        "query_id", "question", "a.products", "a.intent", "a.terms", "a.identifiers", limits.alias("limits"),
+        embedded(F.col("question"), embedder, settings.embed_batch_size, strict=False).alias("vector"),
+        sparse_terms(F.col("a.terms"), F.col("a.products"), F.size(limits) > 0).alias("sparse_terms"),
+        beside_model(F.col("a.identifiers"), F.col("a.products")).alias("exact_identifiers"),
+        trigram_text(F.coalesce("question", F.lit("")), F.col("a.terms")).alias("trigram_text"),
+    )
+
+
+def candidates(asked: DataFrame, chunks: DataFrame, documents: DataFrame, filters: search.Filters, settings: Settings, paths=None, n: int = 30) -> DataFrame:
+    """The ``n`` fused candidates of each ``prepared`` question.  One about
+    several products is searched for each of them, so that none takes all
+    places, and what is found takes turns."""
+    many = F.size("limits") > 1
+    each = F.transform("limits", lambda p, i: F.struct(i.cast("int").alias("no"), F.array(p).alias("only")))
+    parts = F.when(many, each).otherwise(F.array(F.struct(F.lit(0).alias("no"), F.col("limits").alias("only"))))
+    turns = asked.select("*", F.explode(parts).alias("part"))
+    # A product's question has an id of its own, and how many of its hits count.
+    share = F.when(many, F.greatest(F.lit(3), F.floor(F.lit(n) / F.size("limits")).cast("int") + 1)).otherwise(F.lit(n))
+    turns = turns.select(F.struct("query_id", F.col("part.no").alias("no"), share.alias("share")).alias("query_id"), F.col("part.only").alias("only"), "vector", F.col("sparse_terms").alias("terms"), F.col("exact_identifiers").alias("identifiers"), "trigram_text")
+    open_ = search.Filters(None, filters.groups, filters.document_ids)
+    found = search.hybrid(turns, chunks, documents, open_, settings, paths).where(F.col("rank") <= F.col("query_id.share"))
+    found = found.withColumn("__no", F.col("query_id.no")).withColumn("query_id", F.col("query_id.query_id"))
+    once = Window.partitionBy("query_id", "chunk_id").orderBy("rank", "__no")
+    turn = Window.partitionBy("query_id").orderBy("rank", "__no")
+    first = found.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return first.withColumn("__r", F.row_number().over(turn)).where(F.col("__r") <= n).withColumn("rank", F.col("__r")).drop("__r", "__no")
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, embedder: Embedder, filters: search.Filters | None = None, settings: Settings | None = None, glossary: Glossary = DEFAULT_GLOSSARY, paths=None, top_k: int | None = None, provider: Generator | None = None) -> DataFrame:
     """The ranked hits of each question (query_id, question).
 
-    Search widens to the rerank list, rules or, by setting, the ``provider``
-    rerank all of it, then the list is diversified to ``top_k``; table rows get
-    their neighbours."""
-    s = settings or Settings()
+    The products that a question names limit it, unless ``filters`` has
+    products: an empty list lifts the limit.  Search widens to the rerank list,
+    rules or, by setting, the ``provider`` rerank all of it, then the list is
+    diversified to ``top_k``; table rows get their neighbours."""
+    s, given = settings or Settings(), filters or search.Filters()
     k = top_k or s.search_top_k
-    asked = questions.select("query_id", "question", analyzed(F.col("question"), glossary, s.query_expansion).alias("a"))
-    asked = asked.select("query_id", "question", "a.products", "a.identifiers", "a.terms", "a.intent", embedded(F.col("question"), embedder, s.embed_batch_size, strict=False).alias("vector"), F.array_join("a.terms", " ").alias("trigram_text"))
-    found = search.hybrid(asked, chunks, documents, filters or search.Filters(), s, paths)
-    wide = found.where(F.col("rank") <= max(k, s.rerank_candidates))
-    ranked = ranking.reranker(s.rerank_provider, provider)(asked, wide, max(k, s.rerank_candidates))
+    wide = max(k, s.rerank_candidates)
+    asked = prepared(questions, embedder, given, s, glossary)
+    found = candidates(asked, chunks, documents, given, s, paths, wide)
+    ranked = ranking.reranker(s.rerank_provider, provider)(asked, found, wide)
     final = ranking.diversify(ranked, k, s.near_dup_similarity, s.section_cap)
     return search.neighbours(final, chunks, s.neighbor_window)
 
 
 def answer_batch(questions: DataFrame, hits: DataFrame, provider: Generator, settings: Settings | None = None) -> DataFrame:
-    """One judged answer for each question; those without hits are not found."""
+    """One judged answer for each question; those without hits are not found.
+    Questions that compare are answered by rules of their own."""
     s = settings or Settings()
     rows = questions.join(context(hits, s), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prompt = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), F.col("question"))
-    rows = rows.withColumn("generated", generated(provider, F.lit(ANSWER_RULES), prompt))
+    said = F.coalesce("question", F.lit(""))
+    rules = F.when(T.intent(said, T.products_in(said)) == "comparison", COMPARE_RULES).otherwise(ANSWER_RULES)
+    rows = rows.withColumn("generated", generated(provider, rules, prompt))
     return judged(rows.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))), s.grounding_mode)
 
 

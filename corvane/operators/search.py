@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.embedding import cosine
+from corvane.operators import blockwise
 from corvane.settings import Settings
 
 PATHS = ("dense", "sparse", "exact", "trigram")
-#: Question batches up to this many rows are broadcast; larger ones are dealt
-#: by hash and meet the chunks in that many blocks.
-BROADCAST_QUESTIONS = 20_000
+#: Questions whose side is too large to be sent to all tasks are dealt by hash
+#: into blocks of about so many, which the chunks meet in turn.
+BLOCK_QUESTIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -77,41 +78,63 @@ def asked_terms(questions: DataFrame, column: str = "terms") -> DataFrame:
     return questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(column, T.tokens)))).alias("term"))
 
 
-def postings(chunks: DataFrame, chunk_id: str = "id", content: str = "content", only: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, chunk_id: str = "id", content: str = "content", only: DataFrame | None = None, positions: bool = True) -> DataFrame:
     """(term, chunk_id, tf, positions, length): the inverted index, or the part
     of it for the terms of ``only`` (term), which are picked before words are
-    aggregated."""
+    aggregated; without positions if nothing asks for them."""
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), T.tokens(F.col(content)).alias("w"))
     rows = words.select("chunk_id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
     rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+    where = [F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []
+    return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), *where, F.max("length").alias("length"))
+
+
+def within(scored: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``scored`` (query_id, chunk_id, score) without chunks that have none of
+    the products that the question's ``only`` limits it to, if it does."""
+    if "only" not in questions.columns or "products" not in chunks.columns:
+        return scored
+    limit = questions.select("query_id", F.col("only").alias("__only"))
+    own = scored.join(limit, "query_id").join(chunks.select(F.col("id").alias("chunk_id"), F.col("products").alias("__p")), "chunk_id")
+    free = F.coalesce(F.size("__only"), F.lit(0)) <= 0
+    return own.where(free | F.arrays_overlap("__only", "__p")).select(*scored.columns)
 
 
 def dense(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Nearest by cosine, ties by chunk id; chunks without a vector are out.
-    ``questions``: (query_id, vector)."""
-    left = chunks.where(F.col("embedding").isNotNull()).select(F.col("id").alias("chunk_id"), "embedding")
-    size = questions.count()
-    if size <= BROADCAST_QUESTIONS:
-        met = left.crossJoin(F.broadcast(questions.select("query_id", "vector")))
+    ``questions``: (query_id, vector), and ``only``, if some are limited to
+    products of the chunks."""
+    small = blockwise.numbered(questions, "vector", 16)
+    if small is not None:
+        scored = blockwise.cosines(*small, chunks, n) if small[0].ids else _none(questions, chunks)
     else:
-        blocks = -(-size // BROADCAST_QUESTIONS)
+        left = chunks.where(F.col("embedding").isNotNull()).select(F.col("id").alias("chunk_id"), "embedding")
+        blocks = -(-questions.count() // BLOCK_QUESTIONS)
         dealt = questions.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-        met = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").drop("block")
-    scored = met.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 9).alias("score")).where(F.col("score").isNotNull())
+        met = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
+        scored = met.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 9).alias("score")).where(F.col("score").isNotNull())
+        scored = within(scored, questions, chunks)
     return top(scored, n, F.desc("score"), F.asc("chunk_id"))
 
 
-def sparse(questions: DataFrame, index: DataFrame, n: int) -> DataFrame:
+def sparse(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Chunks with any of the ``terms``; 0.1 for every occurrence over 1 + ln of
-    the chunk's length.  ``questions``: (query_id, terms array).  A term of
-    several words counts by its words."""
-    asked = asked_terms(questions)
-    hits = index.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
-    scored = hits.select("query_id", "chunk_id", F.round(F.lit(0.1) * F.col("tf") / (1 + F.log("length")), 9).alias("score"))
+    the chunk's length.  ``questions``: (query_id, terms array), and ``only`` as
+    in ``dense``.  A term of several words counts by its words."""
+    small = blockwise.numbered(questions, "terms", 64)
+    scored = None if small is None else blockwise.occurrences(*small, chunks, n) if small[0].ids else _none(questions, chunks)
+    if scored is None:
+        asked = asked_terms(questions)
+        hits = postings(chunks, only=asked, positions=False).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+        scored = hits.select("query_id", "chunk_id", F.round(F.lit(0.1) * F.col("tf") / (1 + F.log("length")), 9).alias("score"))
+        scored = within(scored, questions, chunks)
     return top(scored, n, F.desc("score"), F.asc("chunk_id"))
 
 
+def _none(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    return questions.select("query_id").limit(0).crossJoin(chunks.select(F.col("id").alias("chunk_id")).limit(0)).withColumn("score", F.lit(0.0))
+
+
 def cover_density(lists: list[list[int]]) -> float:
     """Sum over minimal covers of 0.1 over the words between, for positions of
     terms that must all occur."""
@@ -130,20 +153,22 @@ def cover_density(lists: list[list[int]]) -> float:
     return score
 
 
-def exact(questions: DataFrame, index: DataFrame, n: int) -> DataFrame:
+def exact(questions: DataFrame, index: DataFrame, n: int, chunks: DataFrame | None = None) -> DataFrame:
     """Chunks with all words of all ``identifiers``, by cover density.
-    Questions without identifiers have no rows."""
+    Questions without identifiers have no rows; those with ``only`` products
+    have chunks with such, by ``chunks``."""
     asked = asked_terms(questions, "identifiers")
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     hits = index.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("got"), F.collect_list("positions").alias("lists"))
-    full = hits.join(F.broadcast(need) if questions.count() <= BROADCAST_QUESTIONS else need, "query_id").where(F.col("got") == F.col("need"))
+    full = hits.join(need, "query_id").where(F.col("got") == F.col("need"))
 
     @F.pandas_udf("double")
     def density(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([cover_density([list(x) for x in lists]) for lists in batch], dtype=float)
 
-    return top(full.select("query_id", "chunk_id", F.round(density("lists"), 9).alias("score")), n, F.desc("score"), F.asc("chunk_id"))
+    scored = full.select("query_id", "chunk_id", F.round(density("lists"), 9).alias("score"))
+    return top(scored if chunks is None else within(scored, questions, chunks), n, F.desc("score"), F.asc("chunk_id"))
 
 
 def trigrams(word: str) -> set[str]:
@@ -210,7 +235,7 @@ def trigram(questions: DataFrame, chunks: DataFrame, n: int, threshold: float =
             yield pd.Series([word_similarity(a or "", b or "") for a, b in zip(q, t, strict=True)], dtype=float)
 
     scored = pairs.select("query_id", "chunk_id", F.round(similar("trigram_text", "content"), 9).alias("score")).where(F.col("score") >= threshold)
-    return top(scored, n, F.desc("score"), F.asc("chunk_id"))
+    return top(within(scored, questions, chunks), n, F.desc("score"), F.asc("chunk_id"))
 
 
 def fuse(paths: dict[str, DataFrame], weights: dict[str, float], k: int = 60, n: int = 50) -> DataFrame:
@@ -267,16 +292,15 @@ def hybrid(questions: DataFrame, chunks: DataFrame, documents: DataFrame, filter
     """The fused and deduplicated candidates with their chunks' columns.
 
     ``questions``: (query_id, vector, terms, identifiers, trigram_text), any of
-    which may be missing if its path is not selected."""
+    which may be missing if its path is not selected, and ``only``, products
+    that a question is limited to."""
     s = settings or Settings()
     use = selected(paths)
     shown = visible(chunks, documents, filters)
-    wanted = [asked_terms(questions, c).select("term") for p, c in (("sparse", "terms"), ("exact", "identifiers")) if p in use]
-    index = postings(shown, only=wanted[0] if len(wanted) == 1 else wanted[0].unionByName(wanted[1])) if wanted else None
     make = {
         "dense": lambda: dense(questions, shown, s.search_candidates),
-        "sparse": lambda: sparse(questions, index, s.search_candidates),
-        "exact": lambda: exact(questions, index, s.search_candidates),
+        "sparse": lambda: sparse(questions, shown, s.search_candidates),
+        "exact": lambda: exact(questions, postings(shown, only=asked_terms(questions, "identifiers")), s.search_candidates, shown),
         "trigram": lambda: trigram(questions, shown, s.search_candidates, s.trigram_threshold),
     }
     fused = fuse({p: make[p]() for p in use}, s.path_weights, s.rrf_k, s.search_candidates)

@@ -20,10 +20,13 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id", "left").select(F.col("item_id").alias("query_id"), F.array("text").alias("terms"), "vector")
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked, s = V.document_chunks(spark, sf_dir), _questions(spark, sf_dir), Settings()
-    index = search.postings(chunks.select("id", "content"), only=search.asked_terms(asked))
-    paths = {"dense": search.dense(asked.where("vector is not null"), chunks, s.search_candidates), "sparse": search.sparse(asked, index, s.search_candidates)}
+    paths = {"dense": search.dense(asked, chunks, s.search_candidates), "sparse": search.sparse(asked, _contents(spark, sf_dir), s.search_candidates)}
     fused = search.fuse(paths, s.path_weights, s.rrf_k, s.search_candidates)
     named = fused.join(chunks.select(F.col("id").alias("chunk_id"), "content_hash"), "chunk_id")
     return search.dedupe(named, F.col("content_hash")).where(F.col("rank") <= s.search_top_k).select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
@@ -58,9 +61,7 @@ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id
 
 
 def sparse_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir)
-    index = search.postings(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), only=search.asked_terms(asked))
-    return search.sparse(asked, index, 50).select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+    return search.sparse(_questions(spark, sf_dir), _contents(spark, sf_dir), 50).select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 SPARSE_TOP_SQL = f"WITH {SPARSE_SQL} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM sparse"

@@ -67,10 +67,17 @@ def test_analysis():
     g = A.Glossary.of({"terms": {"매출액": "revenue", "매출": "sales"}})
     assert g.decompose("총매출액") == "매출액" and g.decompose("연매출") == "매출" and g.decompose("매출액") is None
     assert not {"server", "lenovo", "무엇"} & set(A.analyze("lenovo server 무엇 rack").terms)
-    asked = A.analyze("SR650 V4 memory")
-    assert "SR650" not in asked.sparse_terms(True) and asked.websearch_or().count(" OR ") == len(asked.terms) - 1
-    assert asked.exact_identifiers() == []
-    assert A.analyze("메모리 용량", A.Glossary.of({"terms": {"메모리": "memory"}})).trigram_text() == "메모리 용량"
+
+
+def test_what_each_path_looks_for(spark):
+    rows = [("SR650 V4 memory 4X97B17362", ["SR650", "V4", "memory", "power supply"], ["SR650", "4X97B17362"], ["ThinkSystem SR650 V4"]), ("SR650 V4?", ["SR650", "V4"], ["SR650"], ["ThinkSystem SR650 V4"]), ("메모리 용량", ["memory", "메모리", "용량"], [], []), ("?", [], [], [])]
+    frame = spark.createDataFrame(rows, "q string, terms array<string>, ids array<string>, products array<string>")
+    looked = A.sparse_terms(F.col("terms"), F.col("products"), F.size("products") > 0)
+    got = frame.select(looked.alias("s"), A.beside_model(F.col("ids"), F.col("products")).alias("e"), A.trigram_text(F.col("q"), F.col("terms")).alias("t"), A.websearch(looked, " OR ").alias("w")).collect()
+    assert [r.s for r in got] == [["memory", "power supply"], ["SR650", "V4"], ["memory", "메모리", "용량"], []]
+    assert [r.e for r in got] == [["4X97B17362"], [], [], []]
+    assert [r.t for r in got] == ["SR650 V4 memory power supply", "SR650 V4", "메모리 용량", "?"]
+    assert got[0].w == 'memory OR "power supply"'
 
 
 def test_analysis_batch_equals_plain(spark):

@@ -121,6 +121,58 @@ def test_answers_from_question_to_citation(spark):
     assert answering.sources(got).where("query_id = 'm'").first().citation == "Guide p1"
 
 
+def models(spark):
+    e, rows = HashEmbedder(64), []
+    for i, m in enumerate(["SR650 V4"] * 6 + ["SR630 V4"] * 2):
+        rows.append((i, i // 6, i, f"{m}\nMemory maximum: {i + 1}TB DDR5 part 4X97B1736{i}", "Memory", "table_row", 1, 1, [f"ThinkSystem {m}"]))
+    chunks = spark.createDataFrame(rows, "id long, document_id long, ordinal int, content string, section_path string, kind string, page_from int, page_to int, products array<string>")
+    docs = spark.createDataFrame([(0, "A", "a.pdf", "indexed", []), (1, "B", "b.pdf", "indexed", [])], "id long, title string, source_path string, status string, acl_groups array<string>")
+    return chunks.withColumns({"embedding": embedded(F.col("content"), e), "content_hash": F.md5("content")}), docs, e
+
+
+def test_products_that_a_question_names_limit_it(spark):
+    chunks, docs, e = models(spark)
+    asked = spark.createDataFrame([("one", "SR630 V4 memory maximum?"), ("both", "SR650 V4 vs SR630 V4 memory maximum"), ("code", "SR630 V4 4X97B17363"), ("none", "memory maximum")], "query_id string, question string")
+    s = Settings(rerank_candidates=4, section_cap=0, near_dup_similarity=1.0)
+    found = {}
+    for r in answering.retrieve(asked, chunks, docs, e, settings=s, top_k=4).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.chunk_id, r.products[0]))
+    assert {p for _, p in found["one"]} == {"ThinkSystem SR630 V4"} and len(found["one"]) == 2
+    assert {p for _, p in found["both"]} == {"ThinkSystem SR650 V4", "ThinkSystem SR630 V4"} and len(found["both"]) == 4
+    assert {p for _, p in found["code"]} == {"ThinkSystem SR630 V4"} and len(found["none"]) == 4
+    free = answering.retrieve(asked.where("query_id = 'code'"), chunks, docs, e, search.Filters(products=[]), s, top_k=4)
+    assert 3 in order(free) and 3 not in {c for c, _ in found["code"]}  # the part number is another product's
+    told = answering.answer_batch(asked, answering.retrieve(asked, chunks, docs, e, settings=s, top_k=4), SaysRules())
+    assert {r.query_id: r.generated for r in told.collect()} == {"one": "plain", "both": "compare", "code": "plain", "none": "plain"}
+
+
+class SaysRules:
+    name = "rules"
+
+    def generate(self, system, prompt):
+        return "compare" if system == answering.COMPARE_RULES else "plain"
+
+
+def test_blocks_equal_joins(spark, monkeypatch):
+    import random
+
+    rng, pool = random.Random(3), ["memory", "power", "drive", "메모리", "cpu", "fan"]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) if i % 17 else None, [float(rng.randint(-2, 2)) for _ in range(4 if i % 13 else 3)] if i % 11 else None, [f"p{i % 3}"]) for i in range(200)], "id long, content string, embedding array<float>, products array<string>")
+    asked = spark.createDataFrame([(q, [rng.choice(pool), f"{rng.choice(pool)} {rng.choice(pool)}"][: q % 3], [float(rng.randint(-2, 2)) for _ in range(4)], [["p1"], [], None, ["p0", "p2"]][q % 4]) for q in range(12)], "query_id int, terms array<string>, vector array<float>, only array<string>")
+    run = lambda: [sorted(map(tuple, f(asked, chunks, 7).collect())) for f in (search.dense, search.sparse)]
+    blocks = run()
+    monkeypatch.setattr(search.blockwise, "SENT_BYTES", 0)
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", 5)
+    joins = run()
+    assert [[r[:2] + r[3:] for r in x] for x in blocks] == [[r[:2] + r[3:] for r in x] for x in joins] and all(blocks)
+    assert all(a[2] == pytest.approx(b[2], abs=2e-9) for x, y in zip(blocks, joins, strict=True) for a, b in zip(x, y, strict=True))
+    monkeypatch.setattr(search.blockwise, "SENT_BYTES", 1 << 20)
+    monkeypatch.setattr(search.blockwise, "ELEMENTS", 60)
+    assert [[r[:2] for r in x] for x in run()] == [[r[:2] for r in x] for x in joins]
+    none = asked.limit(0)
+    assert search.dense(none, chunks, 3).count() == search.sparse(none, chunks, 3).count() == search.dense(asked, chunks.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize(("said", "cited", "answered"), [("8TB [1]", [1], True), ("8TB [99]", [], False), ("8TB", [], False), (T.NOT_FOUND + " [1]", [], False)])
 def test_citation_matrix(spark, said, cited, answered):
     row = spark.createDataFrame([("q", said, ["Up to 8TB"], 1)], "query_id string, generated string, evidence array<string>, n int")
