@@ -52,6 +52,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def load_queries() -> dict:
+    return {"pipeline": run}
+
+
+def load_oracles() -> dict:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
