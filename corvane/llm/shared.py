@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,19 +39,32 @@ _KEPT: dict = {}
 
 def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task, such as words it has met.
-    It holds one such thing: another key's makes room first, so the operators
-    of a pipeline do not add up in a worker's memory."""
+    It holds one such thing: another key's makes room first, and what that frees
+    goes back to the system, so the operators of a pipeline do not add up in a
+    worker's memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own
-    where it is unset, as in local tests."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset
+    a local session, as in tests, gets a folder of its own; on a cluster rows
+    would be lost on the executors' own disks, so that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.gettempdir() + "/corvane-shared"
     return at.rstrip("/")
 
@@ -85,15 +102,22 @@ class Staged:
         self.made = [d for d in self.made if used and all(d is not u for u in used)]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, since whole texts can be very long, and
-    let Python workers import this package from where the driver has it."""
+#: Bytes of an Arrow batch, about: whole texts can be very long.
+BATCH_BYTES = 4 << 20
+#: What Spark itself has set.
+SPARKS_BYTES = "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by its bytes, and let Python workers import this
+    package from where the driver has it.  A limit that the caller has set stays;
+    ours stays set, since plans are only made when the caller asks for rows."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, SPARKS_BYTES) == SPARKS_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
