@@ -7,6 +7,8 @@ recorded in the store, and recording never fails a call.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import json
 import logging
 import time
 import uuid
@@ -193,8 +195,8 @@ class Engine:
                 ingest.ingest(self.store, root, self.embedder, self.settings, supersede=True).count()
             if delete_missing and counts.get("missing"):
                 gone = plan.where("action = 'missing'").select("document_id")
-                self.store.update("chunks", schemas.CHUNKS, lambda df: df.join(gone, "document_id", "left_anti").select(*df.columns))
-                self.store.update("documents", schemas.DOCUMENTS, lambda df: df.join(gone, df.id == gone.document_id, "left_anti"))
+                chunks, docs = self._tables()
+                self.store.replace_all({"chunks": chunks.join(gone, "document_id", "left_anti").select(*chunks.columns), "documents": docs.join(gone, docs.id == gone.document_id, "left_anti")})
             plan.unpersist()
             return counts
 
@@ -228,19 +230,37 @@ class Engine:
 
     # ---- evaluation
 
-    def evaluate(self, questions: DataFrame, modes: list[str] | None = None, top_k: int = 10) -> DataFrame:
-        """(mode, metric, value) for gold questions (schemas.QUESTIONS)."""
+    def evaluate(self, questions: DataFrame, modes: list[str] | None = None, top_k: int = 10, answers: bool = False, baseline: bool = False) -> DataFrame:
+        """(mode, metric, value) for gold questions (schemas.QUESTIONS); with
+        ``answers`` also what the answers are worth, with ``baseline`` those of
+        the same generator without retrieval, which has no recall at all."""
         chunks, docs = self._tables()
         asked = questions.select(F.col("id").alias("query_id"), "question", "unanswerable", "tags")
+        expect = questions.select(F.col("id").alias("query_id"), "expect")
         gold = questions.select(F.col("id").alias("query_id"), F.explode("answers").alias("a")).select("query_id", "a.document", F.explode_outer("a.pages").alias("page"))
-        out = None
+        parts = []
         for mode in modes or list(MODES):
             paths, rerank = MODES[mode]
             s = Settings(**{**self.settings.__dict__, "rerank_provider": rerank})
-            hits = answering.retrieve(asked, chunks, docs, self.embedder, search.Filters(), s, self.glossary, paths, top_k, self.generator)
-            part = evaluate.retrieval_report(evaluate.scores(asked, hits, gold)).select(F.lit(mode).alias("mode"), "metric", "value")
-            out = part if out is None else out.unionByName(part)
-        return out
+            hits = answering.retrieve(asked, chunks, docs, self.embedder, None, s, self.glossary, paths, top_k, self.generator).persist()
+            scored = evaluate.scores(asked, hits, gold)
+            parts.append(evaluate.retrieval_report(scored).select(F.lit(mode).alias("mode"), "metric", "value"))
+            if answers:
+                told = answering.answer_batch(asked.select("query_id", "question"), hits, self.generator, s)
+                parts.append(evaluate.long_form(evaluate.answer_report(evaluate.answers_judged(scored, told, expect)), mode))
+        if baseline:
+            plain = asked.withColumn("answer", answering.generated(self.generator, F.lit(answering.PLAIN_RULES), F.col("question"))).join(expect, "query_id")
+            rows = plain.select("query_id", "unanswerable", "answer", "expect", F.lit(None).cast("int").alias("cited"), F.lit(None).cast("int").alias("matching"), F.lit(None).cast("boolean").alias("grounded"))
+            parts.append(evaluate.long_form(evaluate.answer_report(rows), evaluate.BASELINE))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def save_run(self, rows: DataFrame, label: str = "", top_k: int = 10) -> dict:
+        """Keep the metrics of ``evaluate`` as a file of the store's ``results``."""
+        s, now = self.settings, dt.datetime.now(dt.UTC)
+        names = ("chunk_target_chars", "search_candidates", "rerank_candidates", "query_expansion", "grounding_mode")
+        made = evaluate.payload([(r.mode, r.metric, r.value) for r in rows.collect()], label, now.isoformat(timespec="seconds"), {"top_k": top_k, "embedding": self.embedder.name, "generator": self.generator.name, "rerank": s.rerank_provider}, {n: getattr(s, n) for n in names} | {"weights": s.path_weights})
+        self.store.write_text(f"results/{now:%Y%m%d-%H%M%S}{'-' + label if label else ''}.json", json.dumps(made, ensure_ascii=False, indent=2))
+        return made
 
 
 def not_found(reply: dict) -> bool:

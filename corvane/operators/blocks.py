@@ -15,13 +15,17 @@ def section_map(toc: DataFrame, pages: DataFrame, doc: str = "doc") -> DataFrame
     Titles of the open levels are joined by `` > ``.  An entry holds from its
     page up to the next entry's; of entries that start on one page the last
     holds.  Pages before the first entry have an empty section.
+
+    An entry's open title of a level is that of the last entry up to it of this
+    level or a higher one, if it is of this level: one running value for each
+    level there is, few by nature, so no table of contents is gathered.
     """
-    order = Window.partitionBy(doc).orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    levels = F.array_sort(F.collect_list(F.struct("pos", "level", "title")).over(before))
-    # The open titles: those no later entry of an equal or higher level has closed.
-    open_ = F.filter(levels, lambda x: ~F.exists(levels, lambda y: (y["pos"] > x["pos"]) & (y["level"] <= x["level"])))
-    entries = toc.select(doc, "pos", "page", F.array_join(F.transform(open_, lambda x: x["title"]), " > ").alias("section"))
+    upto = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    titles = []
+    for n in sorted(r.level for r in toc.select("level").where("level is not null").distinct().collect()):
+        last = F.last(F.when(F.col("level") <= n, F.struct("level", "title")), ignorenulls=True).over(upto)
+        titles.append(F.when((F.col("level") >= n) & (last["level"] == n), last["title"]))
+    entries = toc.select(doc, "pos", "page", F.concat_ws(" > ", *titles).alias("section"))
     marks = entries.groupBy(doc, "page").agg(F.max_by("section", "pos").alias("section"))
     timeline = pages.select(doc, "page", F.lit(None).cast("string").alias("section"), F.lit(1).alias("ask")).unionByName(marks.select(doc, "page", "section", F.lit(0).alias("ask")))
     asof = Window.partitionBy(doc).orderBy("page", "ask").rowsBetween(Window.unboundedPreceding, 0)

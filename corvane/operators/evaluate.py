@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
 KS = (1, 3, 5, 10)
 NOISE = 0.02
+#: The mode of answers without retrieval.
+BASELINE = "no-retrieval"
+#: Buckets of a stage's values in which a percentile is looked for.
+LATENCY_BUCKETS = 4096
 
 
 def matched_ranks(hits: DataFrame, gold: DataFrame) -> DataFrame:
@@ -78,6 +82,29 @@ def answer_report(answers: DataFrame) -> DataFrame:
     return answers.agg(mean(correct, "answer_accuracy"), mean(citation, "citation_precision"), mean(F.col("grounded").cast("double"), "grounded_rate"), mean(honest, "honesty"))
 
 
+def answers_judged(scored: DataFrame, answers: DataFrame, expect: DataFrame) -> DataFrame:
+    """What ``answer_report`` takes, from ``scores``, judged answers (query_id,
+    answer, answered, cited, grounded) and (query_id, expect).  Cited hits that
+    cover a gold location match; questions without an answer cite none."""
+    rows = scored.join(answers.select("query_id", "answer", "cited", "grounded"), "query_id").join(expect, "query_id")
+    cited = F.when(~F.col("unanswerable"), F.size("cited"))
+    return rows.select("query_id", "unanswerable", "answer", "expect", cited.alias("cited"), F.size(F.array_intersect(F.col("cited").cast("array<int>"), F.col("ranks").cast("array<int>"))).alias("matching"), "grounded")
+
+
+def long_form(report: DataFrame, mode: str) -> DataFrame:
+    """(mode, metric, value) of a report of one row."""
+    return report.unpivot([], report.columns, "metric", "value").select(F.lit(mode).alias("mode"), "metric", "value")
+
+
+def payload(rows: list[tuple[str, str, float | None]], label: str, ran_at: str, facts: dict, settings: dict) -> dict:
+    """A run as one plain mapping: its metrics by mode, the baseline apart, and
+    what is needed to run it again."""
+    modes: dict[str, dict] = {}
+    for mode, metric, value in rows:
+        modes.setdefault(mode, {})[metric] = value
+    return {"label": label, "ran_at": ran_at, **facts, "baseline": modes.pop(BASELINE, None), "modes": modes, "settings": settings}
+
+
 def nearest_rank(values: Column, q: float) -> Column:
     """The value at place half-even(q (n - 1)) of the sorted ones, 1 digit;
     ``values`` is an array."""
@@ -86,18 +113,21 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def latency(stages: DataFrame) -> DataFrame:
-    """(stage, n, p50, p95, mean) from (stage, ms): the sorted values are
-    counted by value first, so no stage's rows have to meet."""
-    counts = stages.where("ms is not null").groupBy("stage", "ms").agg(F.count(F.lit(1)).alias("c"))
-    both = counts.groupBy("stage").agg(F.sum("c").alias("n"), F.sum(F.col("ms") * F.col("c")).alias("total"), F.array_sort(F.collect_list(F.struct("ms", "c"))).alias("v"))
-
-    def at(q: float) -> Column:
-        place = F.bround(F.lit(q) * (F.col("n") - 1)).cast("long")
-        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("ms"))
-        step = lambda s, x: F.when(s["ms"].isNotNull(), s).otherwise(F.struct((s["upto"] + x["c"]).alias("upto"), F.when(s["upto"] + x["c"] > place, x["ms"]).alias("ms")))
-        return F.bround(F.aggregate("v", start, step)["ms"], 1)
-
-    return both.select("stage", "n", at(0.5).alias("p50"), at(0.95).alias("p95"), F.bround(F.col("total") / F.col("n"), 1).alias("mean"))
+    """(stage, n, p50, p95, mean) from (stage, ms), the values at places
+    half-even(q (n - 1)): counts by buckets of equal width tell in which of
+    them a place lies, and only that bucket's values are then ordered."""
+    rows = stages.where("ms is not null").select("stage", F.col("ms").cast("double").alias("ms"))
+    whole = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("ms") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    dealt = rows.join(whole.select("stage", "lo", "hi"), "stage").select("stage", "ms", F.least(F.floor(share * LATENCY_BUCKETS), F.lit(LATENCY_BUCKETS - 1)).alias("bucket"))
+    upto = Window.partitionBy("stage").orderBy("bucket")
+    counts = dealt.groupBy("stage", "bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto))
+    asked = whole.select("stage", "n", F.explode(F.array(F.lit(0.5), F.lit(0.95))).alias("q")).withColumn("place", F.bround(F.col("q") * (F.col("n") - 1)).cast("long"))
+    where = counts.join(asked, "stage").where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
+    where = where.select("stage", "bucket", "q", (F.col("place") - F.col("upto") + F.col("c")).alias("skip"))
+    among = dealt.join(where, ["stage", "bucket"]).groupBy("stage", "q", "skip", "ms").agg(F.count(F.lit(1)).alias("c"))
+    found = among.withColumn("upto", F.sum("c").over(Window.partitionBy("stage", "q").orderBy("ms"))).where(F.col("upto") > F.col("skip")).groupBy("stage").agg(*[F.bround(F.min(F.when(F.col("q") == q, F.col("ms"))), 1).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"))])
+    return whole.join(found, "stage").select("stage", "n", "p50", "p95", F.bround(F.col("total") / F.col("n"), 1).alias("mean"))
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -110,8 +140,6 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Of runs (file_no, mode, ...) the latest file's row of each mode."""
-    from pyspark.sql import Window
-
     last = Window.partitionBy("mode").orderBy(F.desc("file_no"))
     return runs.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 

@@ -43,17 +43,22 @@ def ingest(store: Store, root: str, embedder: Embedder, settings: Settings | Non
     failed.  Chunks are replaced only when all their vectors exist."""
     s, spark = settings or Settings(), store.spark
     known = store.read("documents", schemas.DOCUMENTS)
-    files = sources.scan(spark, root).dropDuplicates(["sha256"])
+    # Of files with the same content the one with the least path counts; only names and hashes are shuffled.
+    names = sources.scan(spark, root).drop("content")
+    store.replace("staged_files", names.join(names.groupBy("sha256").agg(F.min("path").alias("path")), ["sha256", "path"], "left_semi"))
+    files = store.read("staged_files", "path string, size long, mtime timestamp, sha256 string")
     fresh = files if force else sync.skip_known(files, known)
-    parsed = sources.parse(fresh)
+    chosen = sources.scan(spark, root).join(fresh.select("path", "sha256"), ["path", "sha256"], "left_semi")
+    # Every file is parsed once; what follows reads the blocks.
+    store.replace("staged_blocks", sources.parse(chosen))
+    parsed = store.read("staged_blocks", sources.PARSED)
     prose = B.drop_boilerplate(B.clean_prose(parsed.where("kind = 'prose'")), "path")
     rows = parsed.where("kind = 'table_row'").drop("unit").join(B.unit_notes(prose, ["path", "page"]), ["path", "page"], "left").withColumn("unit", F.coalesce("unit", F.lit("")))
     docs = document_rows(fresh, parsed, acl or [], s, embedder)
     named = lambda df: df.join(docs.where("status = 'indexed'").select("id", F.col("source_path").alias("path")), "path").withColumnRenamed("id", "doc")
     chunks = chunk(named(prose.unionByName(rows)), docs.select(F.col("id").alias("doc"), "title", "products"), s)
     chunks = chunks.withColumn("embedding", embedded(F.col("content"), embedder, s.embed_batch_size, strict=False))
-    store.replace("staged_documents", docs)
-    store.replace("staged_chunks", chunks)
+    store.replace_all({"staged_documents": docs, "staged_chunks": chunks})
     chunks = store.read("staged_chunks", schemas.CHUNKS)
     counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.count("embedding").alias("vectors"))
     docs = store.read("staged_documents", schemas.DOCUMENTS).join(counts, "id", "left")
@@ -69,8 +74,7 @@ def ingest(store: Store, root: str, embedder: Embedder, settings: Settings | Non
         merged = merged.join(newer, (F.col("source_path") == F.col("__p")) & (F.col("sha256") != F.col("__s")), "left_anti")
     old, ids = store.read("chunks", schemas.CHUNKS), good.select(F.col("id").alias("document_id"))
     kept = old.join(ids, "document_id", "left_anti").select(*old.columns).unionByName(chunks.join(ids, "document_id", "left_semi").select(*old.columns))
-    store.replace("chunks", kept.join(merged.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old.columns))
-    store.replace("documents", merged)
+    store.replace_all({"chunks": kept.join(merged.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old.columns), "documents": merged})
     return docs.select(F.col("source_path").alias("path"), "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 
 
@@ -79,8 +83,8 @@ def delete_document(store: Store, document_id: int) -> bool:
     docs = store.read("documents", schemas.DOCUMENTS)
     if docs.where(F.col("id") == document_id).limit(1).count() == 0:
         return False
-    store.update("chunks", schemas.CHUNKS, lambda df: df.where(F.col("document_id") != document_id))
-    store.update("documents", schemas.DOCUMENTS, lambda df: df.where(F.col("id") != document_id))
+    chunks = store.read("chunks", schemas.CHUNKS)
+    store.replace_all({"chunks": chunks.where(F.col("document_id") != document_id), "documents": docs.where(F.col("id") != document_id)})
     return True
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.analyze import analyzed
+from corvane.functions.analyze import analyzed, beside_model, sparse_terms, trigram_text, websearch
 from corvane.functions.embedding import HashEmbedder, embedded
 from corvane.operators import blocks as B
 from corvane.operators import chunking, drafting, sync, tables
@@ -187,11 +187,35 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.lines(spark, sf_dir).select(F.xxhash64("page").alias("doc"), "pos", F.lit("prose").alias("kind"), "text", F.lit(None).cast("array<struct<k:string,v:string>>").alias("pairs"), F.lit("").alias("grp"), F.lit("").alias("unit"), (F.floor(F.col("pos") / 10) + 1).cast("int").alias("page"), F.col("doc").alias("section_path"))
-    docs = V.table(spark, sf_dir, "documents").select(F.xxhash64("doc_id").alias("doc"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.array().cast("array<string>").alias("products"))
+    """Documents by their lines, ten to a page; each seventh line with words is
+    a row of a table."""
+    is_row = (F.col("pos") % 7 == 3) & (F.trim("text") != "")
+    pairs = F.when(is_row, F.array(F.struct(F.lit("line").alias("k"), F.col("text").alias("v"))))
+    b = V.lines(spark, sf_dir).select(F.col("page").alias("doc"), "pos", F.when(is_row, "table_row").otherwise("prose").alias("kind"), "text", pairs.alias("pairs"), F.lit("").alias("grp"), F.lit("").alias("unit"), (F.floor(F.col("pos") / 10) + 1).cast("int").alias("page"), F.col("doc").alias("section_path"))
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.array().cast("array<string>").alias("products"))
     return chunking.chunk(b, docs).select("document_id", "ordinal", "kind", "section_path", "page_from", "page_to", "token_count", "content_hash")
 
 
+CHUNK_SQL = """WITH RECURSIVE l AS (SELECT doc_id AS doc, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+k AS (SELECT *, pos % 7 = 3 AND trim(text) <> '' AS is_row FROM l),
+p AS (SELECT doc, source, pos, is_row, CASE WHEN is_row THEN ['line: ' || text] WHEN length(text) <= 1200 THEN [text] ELSE list_transform(range(0, CAST(ceil((length(text) - 1200) / 1000.0) AS INT) + 1), lambda j: substr(text, j * 1000 + 1, 1200)) END AS parts FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos, part) AS i FROM (SELECT doc, source, pos, is_row, unnest(parts) AS text, generate_subscripts(parts, 1) AS part FROM p)),
+n AS (SELECT doc, max(i) AS n FROM b GROUP BY 1),
+st AS (SELECT doc, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS size, CAST([] AS STRUCT(r BOOLEAN, a BIGINT, z BIGINT)[]) AS done FROM n
+  UNION ALL SELECT b.doc, b.i, CASE WHEN is_row OR (size + length(text) >= 1200 AND length(text) > 200) THEN b.i + 1 WHEN size + length(text) >= 1200 THEN b.i ELSE f END,
+    CASE WHEN is_row OR (size + length(text) >= 1200 AND length(text) > 200) THEN 0 WHEN size + length(text) >= 1200 THEN length(text) ELSE size + length(text) END,
+    CASE WHEN is_row THEN list_concat(done, list_concat(CASE WHEN f < b.i THEN [{'r': false, 'a': f, 'z': b.i - 1}] ELSE [] END, [{'r': true, 'a': b.i, 'z': b.i}]))
+      WHEN size + length(text) >= 1200 THEN list_append(done, {'r': false, 'a': f, 'z': b.i}) ELSE done END
+  FROM st JOIN b ON b.doc = st.doc AND b.i = st.i + 1),
+c AS (SELECT st.doc, CASE WHEN f <= n THEN list_append(done, {'r': false, 'a': f, 'z': n}) ELSE done END AS done FROM st JOIN n ON n.doc = st.doc AND n.n = st.i),
+u AS (SELECT doc, unnest(done) AS x, generate_subscripts(done, 1) - 1 AS ordinal FROM c),
+body AS (SELECT u.doc, ordinal, any_value(x.r) AS is_row, any_value(source) AS source, min(pos) // 10 + 1 AS page_from, max(pos) // 10 + 1 AS page_to, string_agg(text, chr(10) ORDER BY i) AS body FROM u JOIN b ON b.doc = u.doc AND b.i BETWEEN x.a AND x.z GROUP BY 1, 2),
+t AS (SELECT *, 'doc ' || doc || chr(10) || CASE WHEN coalesce(source, '') <> '' THEN source || chr(10) ELSE '' END || body AS content FROM body),
+o AS (SELECT *, length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) AS o FROM t)
+SELECT doc AS document_id, CAST(ordinal AS INT) AS ordinal, CASE WHEN is_row THEN 'table_row' ELSE 'prose' END AS kind, coalesce(source, '') AS section_path, CAST(page_from AS INT) AS page_from, CAST(page_to AS INT) AS page_to,
+  CAST(greatest(1, round_even((length(content) - o) / 4.0 + o / 1.5, 0)) AS INT) AS token_count, md5('||' || lower(trim(regexp_replace(body, '\\s+', ' ', 'g')))) AS content_hash FROM o"""
+
+
 def table_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table per region: a header, a group row, and nations whose first cell
     is merged over the region."""
@@ -292,11 +316,62 @@ DRAFT_SQL = """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 6 WHEN p_size % 3
 WHERE regexp_matches(p_name, '[a-z]') AND NOT regexp_matches(p_name, '^[0-9]') AND NOT regexp_full_match(p_name, '[A-Z0-9][A-Z0-9/-]{2,}') AND length(trim(p_name)) BETWEEN 2 AND 40 AND length(CAST(p_size AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN ' GB' ELSE ' pieces' END) >= 3"""
 
 
-_ALL = (boilerplate_keys, boilerplate_removed, section_asof, forward_fill_labels, long_prose_windows, token_estimate, content_hash_dups, cell_normalise, word_tokens, strip_particles, identifier_extract, products_found, grounding_unsupported, citation_parse, citation_render, intent_classify, analyze_questions, hash_embedding, chunk_documents, table_key_values, unit_notes, scanned_documents, sync_plan, skip_known_files, upsert_documents, latest_version, doc_rollup, draft_candidates)
+def draft_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drafts taken of all parts: four of a brand, nine of a kind, one of a
+    brand's section."""
+    p = V.table(spark, sf_dir, "part")
+    rows = p.select(
+        F.col("p_brand").alias("document"), F.col("p_partkey").alias("page"), F.concat(F.when(F.col("p_size") % 3 == 0, "Memory specification ").otherwise("Power "), (F.col("p_size") % 7).cast("string")).alias("section"),
+        F.lower(F.substring_index("p_type", " ", -1)).alias("key"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " GB").otherwise(" pieces")).alias("value"),
+    )
+    return drafting.pick(drafting.candidates(rows), 4, 9).select("document", "page", "section", "key", "score")
+
+
+PICK_SQL = """WITH RECURSIVE r AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, document, page, key, value, section) AS i FROM (
+    SELECT p_brand AS document, p_partkey AS page, CASE WHEN p_size % 3 = 0 THEN 'Memory specification ' ELSE 'Power ' END || (p_size % 7) AS section,
+      lower(string_split(p_type, ' ')[-1]) AS key, p_size || CASE WHEN p_size % 2 = 0 THEN ' GB' ELSE ' pieces' END AS value,
+      CASE WHEN p_size % 3 = 0 THEN 6 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 5 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0 ELSE 3 END + 3 AS score FROM part)
+  WHERE length(value) >= 3 AND regexp_matches(key, '[a-z]') AND length(key) BETWEEN 2 AND 40),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, d VARCHAR, k VARCHAR, s VARCHAR)[]) AS took
+  UNION ALL SELECT r.i, CASE WHEN len(list_filter(took, lambda x: x.d = r.document)) < 4 AND len(list_filter(took, lambda x: x.k = r.key)) < 9 AND len(list_filter(took, lambda x: x.d = r.document AND x.s = r.section)) = 0
+    THEN list_append(took, {'i': r.i, 'd': r.document, 'k': r.key, 's': r.section}) ELSE took END FROM st JOIN r ON r.i = st.i + 1)
+SELECT document, page, section, key, score FROM r JOIN (SELECT unnest(took).i AS i FROM (SELECT took FROM st ORDER BY i DESC LIMIT 1)) USING (i)"""
+
+
+def narrowed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that name one, several or none of their documents' products."""
+    p = V.table(spark, sf_dir, "part")
+    said = F.concat("p_name", F.when(F.col("p_size") % 4 == 0, " in SR650").when(F.col("p_size") % 4 == 1, " SR650a and SR630").when(F.col("p_size") % 4 == 2, " SR630.").otherwise(""))
+    own = F.array(F.lit("ThinkSystem SR650 V4"), F.lit("ThinkSystem SR630 V4"))
+    return p.select("p_partkey", F.array_join(T.narrow_products(said, own), "|").alias("products"))
+
+
+NARROW_SQL = """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ThinkSystem SR650 V4' WHEN 2 THEN 'ThinkSystem SR630 V4' ELSE 'ThinkSystem SR650 V4|ThinkSystem SR630 V4' END AS products FROM part"""
+
+
+def path_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sparse, exact and trigram paths look for in questions about
+    parts, some under a product filter."""
+    p = V.table(spark, sf_dir, "part")
+    terms = F.concat(F.array(F.lit("SR650"), F.lit("v4")), F.when(F.col("p_size") % 3 > 0, F.split("p_type", " ")).otherwise(F.array().cast("array<string>")), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("메모리"))).otherwise(F.array().cast("array<string>")))
+    products = F.when(F.col("p_size") % 5 > 0, F.array(F.lit("ThinkSystem SR650 V4"))).otherwise(F.array().cast("array<string>"))
+    asked = p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, "메모리 용량은").otherwise(F.col("p_name")).alias("q"), terms.alias("t"), products.alias("own"), F.array(F.lit("SR650"), F.lit("V4"), F.lit("4X97B17362")).alias("i"))
+    sparse = sparse_terms(F.col("t"), F.col("own"), F.size("own") > 0)
+    return asked.select("p_partkey", websearch(sparse, " OR ").alias("sparse"), websearch(beside_model(F.col("i"), F.col("own")), " ").alias("exact"), trigram_text(F.col("q"), F.col("t")).alias("trigram"))
+
+
+PATHS_SQL = """WITH q AS (SELECT p_partkey, p_size, p_name, list_concat(list_concat(['SR650', 'v4'], CASE WHEN p_size % 3 > 0 THEN string_split(p_type, ' ') ELSE [] END), CASE WHEN p_size % 2 = 0 THEN ['메모리'] ELSE [] END) AS t, p_size % 5 > 0 AS named FROM part),
+k AS (SELECT *, CASE WHEN named THEN list_filter(t, lambda x: NOT list_contains(['thinksystem', 'sr650', 'v4'], lower(x))) ELSE t END AS kept, list_filter(t, lambda x: (x = '메모리') = (p_size % 2 = 0)) AS own FROM q)
+SELECT p_partkey, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE t END, ' OR ') AS sparse, CASE WHEN named THEN '4X97B17362' ELSE 'SR650 4X97B17362' END AS exact,
+  array_to_string(own, ' ') AS trigram FROM k"""
+
+
+_ALL = (boilerplate_keys, boilerplate_removed, section_asof, forward_fill_labels, long_prose_windows, token_estimate, content_hash_dups, cell_normalise, word_tokens, strip_particles, identifier_extract, products_found, grounding_unsupported, citation_parse, citation_render, intent_classify, analyze_questions, hash_embedding, chunk_documents, table_key_values, unit_notes, scanned_documents, sync_plan, skip_known_files, upsert_documents, latest_version, doc_rollup, draft_candidates, draft_picks, narrowed_products, path_queries)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "boilerplate_keys": f"WITH {KEYS} SELECT doc, key, pages FROM b", "boilerplate_removed": REMOVED_SQL, "section_asof": ASOF_SQL, "forward_fill_labels": FILL_SQL, "long_prose_windows": WINDOWS_SQL, "token_estimate": TOKENS_SQL,
     "content_hash_dups": DUPS_SQL, "cell_normalise": CELL_SQL, "word_tokens": WORDS_SQL, "strip_particles": PARTICLES_SQL, "identifier_extract": IDENT_SQL, "products_found": PRODUCTS_SQL, "grounding_unsupported": GROUNDING_SQL,
     "citation_parse": CITED_SQL, "citation_render": RENDER_SQL, "intent_classify": INTENT_SQL, "table_key_values": TABLE_SQL, "unit_notes": UNITS_SQL, "scanned_documents": SCANNED_SQL, "sync_plan": SYNC_SQL, "skip_known_files": SKIP_SQL,
-    "upsert_documents": UPSERT_SQL, "latest_version": LATEST_SQL, "doc_rollup": ROLLUP_SQL, "draft_candidates": DRAFT_SQL,
+    "upsert_documents": UPSERT_SQL, "latest_version": LATEST_SQL, "doc_rollup": ROLLUP_SQL, "draft_candidates": DRAFT_SQL, "chunk_documents": CHUNK_SQL, "draft_picks": PICK_SQL, "narrowed_products": NARROW_SQL, "path_queries": PATHS_SQL,
 }

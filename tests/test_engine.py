@@ -34,6 +34,12 @@ def test_engine(spark, tmp_path):
     gold = spark.createDataFrame([("q1", "memory maximum", [("SR650 V4 Guide", [])], None, False, ["t"]), ("q2", "nothing", [], None, True, [])], schemas.QUESTIONS)
     got = {(r.mode, r.metric): r.value for r in e.evaluate(gold, ["sparse", "hybrid+rerank"]).collect()}
     assert got["sparse", "recall@1"] == 1.0 and got["hybrid+rerank", "recall@10"] == 1.0
+    told = e.evaluate(gold, ["hybrid+rerank"], answers=True, baseline=True).persist()
+    worth = {(r.mode, r.metric): r.value for r in told.collect()}
+    assert worth["hybrid+rerank", "citation_precision"] == 1.0 and worth["hybrid+rerank", "grounded_rate"] == 1.0 and worth["no-retrieval", "honesty"] == 1.0
+    assert ("no-retrieval", "mrr") not in worth and worth["no-retrieval", "citation_precision"] is None
+    run = e.save_run(told, "first")
+    assert run["modes"]["hybrid+rerank"]["recall@1"] == 1.0 and run["baseline"]["honesty"] == 1.0 and len(list((tmp_path / "store" / "results").glob("*-first.json"))) == 1
     (root / "new.docx").write_bytes(docx("more text"))
     assert e.jobs(ADMIN, e.sync(ADMIN, str(root))).first().stats == {"unchanged": 1, "new": 1}
     (root / "new.docx").unlink()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -173,6 +174,35 @@ def test_ingest_skip_fail_and_delete(spark, tmp_path):
     assert store.read("documents", schemas.DOCUMENTS).where("status = 'indexed'").count() == 0
 
 
+def test_readers_see_all_tables_of_a_change_or_none(spark, tmp_path, monkeypatch):
+    store, rows = Store(spark, str(tmp_path / "s")), lambda n: spark.range(n).select("id")
+    read = lambda t: store.read(t, "id long").count()
+    assert read("a") == 0
+    store.replace_all({"a": rows(1), "b": rows(2)})
+    kept = Store(spark, store.root).read("a", "id long")
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda fresh: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            store.replace_all({"a": rows(3), "b": rows(4)})
+    assert (read("a"), read("b"), kept.count()) == (1, 2, 1)
+    # Somebody else commits between our look and our rename: theirs stays, ours comes on top.
+    look, other = store._manifest, Store(spark, store.root)
+    turns = iter([lambda: other.replace("b", rows(7))])
+    monkeypatch.setattr(store, "_manifest", lambda: (look(), next(turns, lambda: None)())[0])
+    store.replace("a", rows(5))
+    monkeypatch.undo()
+    assert (read("a"), read("b"), kept.count()) == (5, 7, 1)
+    store.vacuum("a")
+    assert (read("a"), read("b")) == (5, 7)
+
+
+def test_equal_files_are_indexed_once_by_the_least_path(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.docx").write_bytes(docx("same words here"))
+    done = ingest.ingest(Store(spark, str(tmp_path / "s")), str(tmp_path), HashEmbedder(16)).collect()
+    assert [os.path.basename(r.path) for r in done] == ["a.docx"] and done[0].status == "indexed"
+
+
 def test_jobs(spark, tmp_path):
     jobs = ingest.Jobs(Store(spark, str(tmp_path)))
     good, bad = jobs.run("sync", lambda: {"new": 2}), jobs.run("sync", lambda: 1 / 0)
