@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import fold_of, kept_by_worker, small_batches, words
+from corvane.llm.shared import drop_stage, fold_of, kept_by_worker, small_batches, stage, words
 
 BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 10, 8, (1, 2, 3)
@@ -30,10 +30,15 @@ PARTS = 1 + 2 * len(AFFIXES)
 #: Labelled texts of either class that the model is fitted on at most; a
 #: quarter of them serves to calibrate.
 POSITIVES, NEGATIVES = 1600, 2400
+#: Words of them all; if they have more, the longest of them are left out.
+FIT_WORDS = 1 << 24
 EPOCHS, RATE = 5, 0.08
 THRESHOLD = 0.7
-#: Words whose filter responses a worker remembers: the first it meets.
-REMEMBERED = 100_000
+#: Words whose filter responses a worker remembers: the first it meets of up
+#: to so many bytes.
+REMEMBERED, SHORT = 60_000, 64
+#: Words of a text that are looked at once.
+PIECE = 50_000
 #: A language needs so many toxic calibration texts for a cut of its own.
 LEAST_TOXIC = 12
 
@@ -127,13 +132,9 @@ class Network:
 class Toxicity:
     """The fitted network with its calibration by language."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, langs: list[str | None], natural: tuple[float, float]):
+    def __init__(self, found: list[np.ndarray], names: list[bytes], y: np.ndarray, langs: list[str | None], natural: tuple[float, float]):
+        """``found`` has each text's words, in order, as numbers of ``names``."""
         self.net, self.key = Network(), uuid.uuid4().hex
-        # Texts become numbers of words at once: their words are not held apart.
-        vocab: dict[bytes, int] = {}
-        found = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words(t)), np.int32) for t in texts]
-        names = list(vocab)
-        del vocab
         table = np.zeros((len(names), PARTS), np.int32)
         for i, w in enumerate(names):
             table[i] = buckets_of(w)
@@ -149,7 +150,7 @@ class Toxicity:
         self._prepare()
         held = np.flatnonzero(~fit)
         margins = np.array([self.margin(table[found[i]]) for i in held])
-        told = np.array([self.language([names[k] for k in found[i]]) for i in held], int)
+        told = np.array([self.language(Counter(names[k] for k in found[i])) for i in held], int)
         share = [natural[c] / max(1, int((y == c).sum())) for c in (0, 1)]
         cost = np.array([share[c] for c in y[held]])
         everywhere = best_cut(margins, y[held], cost)
@@ -172,10 +173,11 @@ class Toxicity:
         common = {w for c in by.values() for w, _ in c.most_common(200)}
         self.common = {w: np.log([(by[k][w] + 1) / (total[k] + 100) for k in self.names]).astype(np.float32) for w in common}
 
-    def language(self, own: list[bytes]) -> int:
-        """The likeliest language by common words; the last number if none occurs."""
-        seen = Counter(w for w in own if w in self.common)
-        return int(np.argmax(sum(n * self.common[w] for w, n in seen.items()))) if seen else len(self.names)
+    def language(self, seen: Counter) -> int:
+        """The likeliest language by a text's common words; the last number if
+        it has none."""
+        known = [n * self.common[w] for w, n in sorted(seen.items()) if w in self.common]
+        return int(np.argmax(sum(known))) if known else len(self.names)
 
     def _prepare(self) -> None:
         """All places of all filters side by side, for one product per word."""
@@ -186,8 +188,11 @@ class Toxicity:
         o = self.net.odds[parts]
         return self.net.e[parts].sum(1) @ self.flat + o[:, :1] * self.flat[0] + o[:, 1::2].mean(1)[:, None] * self.flat[1] + o[:, 2::2].mean(1)[:, None] * self.flat[2]
 
-    def pooled(self, r: np.ndarray) -> float:
-        """The margin of a text from its words' responses, in order."""
+    def tops(self, r: np.ndarray) -> np.ndarray:
+        """Every filter's best place, from the responses of words in order;
+        fewer words than the widest filter has are followed by zeros."""
+        if len(r) < max(WIDTHS):
+            r = np.concatenate([r, np.zeros((max(WIDTHS) - len(r), r.shape[1]), np.float32)])
         n, tops, at = len(r), [], 0
         for b, w in zip(self.net.bias, WIDTHS, strict=True):
             z = r[: n - w + 1, at : at + FILTERS]
@@ -195,11 +200,18 @@ class Toxicity:
                 z = z + r[k : n - w + 1 + k, at + k * FILTERS : at + (k + 1) * FILTERS]
             tops.append(z.max(0) + b)
             at += w * FILTERS
-        return float(np.maximum(np.concatenate(tops), 0) @ self.net.out + self.net.base)
+        return np.concatenate(tops)
+
+    def judged(self, tops: np.ndarray) -> float:
+        return float(np.maximum(tops, 0) @ self.net.out + self.net.base)
 
     def margin(self, parts: np.ndarray) -> float:
-        r = self.responses(parts) if len(parts) else np.zeros((0, self.flat.shape[1]), np.float32)
-        return self.pooled(r if len(r) >= max(WIDTHS) else np.concatenate([r, np.zeros((max(WIDTHS) - len(r), r.shape[1]), np.float32)]))
+        step, best = PIECE - max(WIDTHS) + 1, None
+        for at in range(0, max(1, len(parts) - max(WIDTHS) + 1), step):
+            own = parts[at : at + PIECE]
+            tops = self.tops(self.responses(own) if len(own) else np.zeros((0, self.flat.shape[1]), np.float32))
+            best = tops if best is None else np.maximum(best, tops)
+        return self.judged(best)
 
     def calibrate(self, margin: float, lang: int) -> float:
         return float(1 / (1 + np.exp(-np.clip(2 * (margin - self.cuts[lang]) + np.log(THRESHOLD / (1 - THRESHOLD)), -50, 50))))
@@ -210,45 +222,47 @@ class Scorer:
 
     def __init__(self, model: Toxicity):
         self.m, self.known = model, {}
-        self.rows = np.zeros((1024, model.flat.shape[1]), np.float32)
+        self.rows = np.zeros((REMEMBERED, model.flat.shape[1]), np.float32)
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        out, group, size = [], [], 0
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        """Texts are looked at in pieces that overlap by what the widest filter
+        needs, many short texts at once: memory does not grow with a text."""
+        out, pieces, size = [], [], 0
         for t in texts:
-            group.append(words(t))
-            size += len(group[-1])
-            if size > 200_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, found: list[list[bytes]]) -> list[float]:
-        known, fresh = self.known, list({w for own in found for w in own}.difference(self.known))
-        keep = len(known) < REMEMBERED
-        base = len(known)
-        if fresh:
-            if base + len(fresh) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(fresh)), self.rows.shape[1]), np.float32)])
-            for at in range(0, len(fresh), 8192):
-                part = fresh[at : at + 8192]
-                self.rows[base + at : base + at + len(part)] = self.m.responses(np.array([buckets_of(w) for w in part], np.int32))
-            extra = dict(zip(fresh, range(base, base + len(fresh)), strict=True))
-            if keep:
-                known.update(extra)
-                get = known.__getitem__
-            else:
-                get = lambda w, a=known.get, b=extra: i if (i := a(w)) is not None else b[w]
-        else:
-            get = known.__getitem__
-        out = []
-        for own in found:
-            if len(own) < max(WIDTHS):
-                r = np.zeros((max(WIDTHS), self.rows.shape[1]), np.float32)
-                r[: len(own)] = self.rows[[get(w) for w in own]] if own else 0
+            own = words(t)
+            out.append([None, Counter()])
+            for at in range(0, max(1, len(own) - max(WIDTHS) + 1), PIECE - max(WIDTHS) + 1):
+                pieces.append((out[-1], own[at : at + PIECE], 0 if at == 0 else max(WIDTHS) - 1))
+                size += len(pieces[-1][1])
+                if size >= PIECE:
+                    self._look(pieces)
+                    pieces, size = [], 0
+        self._look(pieces)
+        return [self.m.calibrate(self.m.judged(tops), self.m.language(seen)) for tops, seen in out]
+
+    def _look(self, pieces: list[tuple[list, list[bytes], int]]) -> None:
+        """Bring the tops and common words of the pieces' texts up to date;
+        the first words of a piece may have been in the one before."""
+        known = self.known
+        fresh = list({w for _, own, _ in pieces for w in own}.difference(known))
+        new = self.m.responses(np.array([buckets_of(w) for w in fresh], np.int32).reshape(-1, PARTS))
+        at = {}
+        for i, w in enumerate(fresh):
+            if len(known) < REMEMBERED and len(w) <= SHORT:
+                self.rows[len(known)] = new[i]
+                known[w] = len(known)
             else:
-                r = self.rows[np.fromiter(map(get, own), np.int64, len(own))]
-            out.append(self.m.calibrate(self.m.pooled(r), self.m.language(own)))
-        return out
+                at[w] = REMEMBERED + i
+        place = (lambda w: i if (i := known.get(w)) is not None else at[w]) if at else known.__getitem__
+        for text, own, again in pieces:
+            where = np.fromiter(map(place, own), np.int64, len(own))
+            r = self.rows[np.minimum(where, REMEMBERED - 1)]
+            if at:
+                unknown = np.flatnonzero(where >= REMEMBERED)
+                r[unknown] = new[where[unknown] - REMEMBERED]
+            tops = self.m.tops(r)
+            text[0] = tops if text[0] is None else np.maximum(text[0], tops)
+            text[1].update(w for w in own[again:] if w in self.m.common)
 
 
 def scorer_of(model: Toxicity) -> Scorer:
@@ -269,26 +283,61 @@ def best_cut(margins: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
     return float((m[i] + m[i + 1]) / 2 if i + 1 < len(m) else m[i] - 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES, fit_words: int = FIT_WORDS) -> Toxicity:
     """Fit on the labelled rows given: at most ``positives`` and ``negatives``
-    texts, those with the least hash of doc_id.  Null labels, ids and texts are
-    left out; a doc_id labelled more than once is toxic if any label says so.
-    Without labels of both classes all scores are alike."""
+    texts, those with the least hash of doc_id, and ``fit_words`` words.
+
+    Null labels, ids and texts are left out; a doc_id labelled more than once
+    is toxic if any label says so; of rows that repeat an id, the text with the
+    least hash counts.  Empty texts are examples like others.  Without labels
+    of both classes, as with empty tables, all scores are alike.  The driver
+    gets numbers of words and the different words, not the texts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r.toxic: r["count"] for r in own.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     part = lambda c, n: own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = F.broadcast(part(1, positives).unionByName(part(0, negatives)).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")))
+    picked = F.broadcast(part(1, positives).unionByName(part(0, negatives)))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col(text).isNotNull()).join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", F.col(text).alias("t"), F.col("__toxic").alias("toxic"), lang.alias("lang")).dropDuplicates(["doc_id"])
-    got = sorted(rows.toLocalIterator(), key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
-    return Toxicity([r.t for r in got], np.array([int(r.toxic) for r in got], int), [r.lang for r in got], (float(total.get(0, 0)), float(total.get(1, 0))))
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select("doc_id", F.col(f"`{text}`").alias("t"), lang.alias("lang")).join(picked, "doc_id")
+
+    def number(batches):
+        for b in batches:
+            out = []
+            for t in b["t"]:
+                vocab: dict[bytes, int] = {}
+                seq = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words(t)), np.int32)
+                out.append((len(seq), seq.tobytes(), b" ".join(vocab)))
+            yield pd.concat([b[["i", "toxic", "lang", "h"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "seq", "vocab"])], axis=1)
+
+    rows = texts.select(F.col("doc_id").cast("string").alias("i"), F.col("toxic").cast("int").alias("toxic"), "lang", F.xxhash64("t").alias("h"), "t")
+    made = rows.mapInPandas(number, "i string, toxic int, lang string, h long, n long, seq binary, vocab binary")
+    made = stage(made.groupBy("i").agg(F.min_by(F.struct("toxic", "lang", "n", "seq", "vocab"), F.struct("h", "n")).alias("r")).select("i", "r.*"), "toxicity-sample")
+    sizes = sorted(r.n for r in made.select("n").collect())
+    longest = max((n for n, upto in zip(sizes, np.cumsum(sizes), strict=True) if upto <= fit_words), default=0)
+    # Words become numbers of one list for all texts.
+    every: dict[bytes, int] = {}
+    texts_, y, langs, key = [], [], [], []
+    for r in made.where(F.col("n") <= longest).toLocalIterator():
+        here = np.fromiter((every.setdefault(w, len(every)) for w in bytes(r.vocab).split()), np.int32)
+        texts_.append(here[np.frombuffer(r.seq, np.int32)] if r.n else here)
+        y.append(r.toxic)
+        langs.append(r.lang)
+        key.append((xxhash.xxh64_intdigest(r.i), r.i))
+    drop_stage(spark, made)
+    order = sorted(range(len(key)), key=key.__getitem__)
+    return Toxicity([texts_[i] for i in order], list(every), np.array([y[i] for i in order], int), [langs[i] for i in order], (float(total.get(0, 0)), float(total.get(1, 0))))
 
 
 def score(model: Toxicity, docs: DataFrame, text: str = "text") -> Column:
     """A column for ``docs``: the score from 0 to 1 of the whole text, toxic
-    from THRESHOLD on.  A null text scores as an empty one."""
+    from THRESHOLD on.
+
+    A null text scores as an empty one; very long ones are scored whole, in
+    pieces.  Each row is scored by its text alone: rows that repeat have equal
+    scores, an empty table has none, and other columns are not read.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -298,15 +347,18 @@ def score(model: Toxicity, docs: DataFrame, text: str = "text") -> Column:
         for batch in batches:
             yield pd.Series(own.scores(list(batch)), dtype=float)
 
-    return tell(F.col(text))
+    return tell(F.col(f"`{text}`"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents below the threshold."""
+    """The documents below the threshold, with all their columns; see ``train``
+    and ``score`` for nulls, long texts, repeated rows and empty tables."""
     return docs.where(score(train(docs, labels, text), docs, text) < THRESHOLD)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every row of ``documents``, learned from labels outside
+    fold 1; see ``train`` and ``score``.  A null id counts as held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(fold_of(F.col("doc_id"), 3) != 1))
