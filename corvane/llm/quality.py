@@ -93,14 +93,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = {r.quality: r["count"] for r in own.groupBy("quality").count().collect()}
     part = lambda c: own.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    picked = F.broadcast(part(0).unionByName(part(1)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")))
+    picked = F.broadcast(part(0).unionByName(part(1)))
 
     def count(batches):
         for b in batches:
-            yield pd.DataFrame({"i": b["i"], "q": b["q"], "x": [features(t) for t in b["t"]]})
+            yield pd.DataFrame({"i": b["i"], "h": b["h"], "q": b["q"], "x": [features(t) for t in b["t"]]})
 
-    rows = docs.join(picked, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("string").alias("i"), F.col("__quality").alias("q"), F.col(text).alias("t"))
-    got = sorted(rows.mapInPandas(count, "i string, q int, x array<double>").dropDuplicates(["i"]).collect(), key=lambda r: r.i)
+    texts = docs.select("doc_id", F.col(text).alias("t")).join(picked, "doc_id")
+    rows = texts.select(F.col("doc_id").cast("string").alias("i"), F.xxhash64("t").alias("h"), F.col("quality").alias("q"), "t")
+    # Of rows that repeat an id, the text with the least hash counts.
+    one = rows.mapInPandas(count, "i string, h long, q int, x array<double>").groupBy("i").agg(F.min(F.struct("h", "q", "x")).alias("r"))
+    got = sorted(one.select("i", "r.q", "r.x").collect(), key=lambda r: r.i)
     y = np.array([r.q for r in got], float)
     weight = np.array([total[r.q] / max(1, (y == r.q).sum()) for r in got])
     return Classifier(np.array([r.x for r in got], float).reshape(-1, N_FEATURES), y, weight * len(y) / max(1e-9, weight.sum()))
@@ -154,36 +157,42 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judge(docs: DataFrame, model: Classifier, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
-    """``docs`` with ``__q``: struct of ``evidence``, ``n_host``, ``n_path``,
-    ``host_rate``, ``path_rate``, ``quality`` (0 to 1) and ``keep``.
+def judge(docs: DataFrame, model: Classifier, host: str = "source", path: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(``row``, ``judged``) for every row of ``docs``.
 
-    Rows are kept as often as they come.  Null and empty texts have the
-    evidence of a text without any character; null hosts and paths are sites of
-    their own; an empty table gives no rows.
+    ``row`` is a struct of the columns in ``carry`` (all, if not given), so no
+    name of the caller's can clash.  ``judged`` is a struct of ``evidence``,
+    ``n_host``, ``n_path``, ``global_rate``, ``host_rate``, ``path_rate``,
+    ``quality`` (0 to 1) and ``keep``.  Each text is scored once: what is
+    carried is written to the shared folder with its evidence, so leave out of
+    ``carry`` what is not needed.  Rows are kept as often as they come, with
+    repeated or null ids or not.  Null and empty texts have the evidence of a
+    text without any character; very long ones are read whole; null hosts and
+    paths are sites of their own; an empty table gives no rows.
     """
-    scored = docs.withColumn("__evidence", evidence(model, docs, text))
-    sites = site_posteriors(scored, host, path, "__evidence")
+    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    told = docs.select(kept.alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"), evidence(model, docs, text).alias("evidence"))
+    scored = stage(told, "quality-evidence")
+    sites = stage(site_posteriors(scored, "host", "path", "evidence").select(F.struct("*").alias("site")), "quality-sites")
     if sites.count() <= BROADCAST_PATHS:
         sites = F.broadcast(sites)
-    sites = sites.select(F.struct("*").alias("__s"))
-    shift = logit(F.col("__s.path_rate")) - logit(F.col("__s.global_rate"))
-    total = F.col("__evidence") + F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift))
-    quality = 1 / (1 + F.exp(-total))
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__s.host")) & F.col(path).eqNullSafe(F.col("__s.path")), "left")
-    told = F.struct(
-        F.col("__evidence").alias("evidence"), F.col("__s.n_host").alias("n_host"), F.col("__s.n_path").alias("n_path"), F.col("__s.global_rate").alias("global_rate"),
-        F.col("__s.host_rate").alias("host_rate"), F.col("__s.path_rate").alias("path_rate"), quality.alias("quality"), (quality >= KEEP).alias("keep"),
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], told.alias("__q"))
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("site.host")) & F.col("path").eqNullSafe(F.col("site.path")), "left")
+    shift = logit(F.col("site.path_rate")) - logit(F.col("site.global_rate"))
+    quality = 1 / (1 + F.exp(-(F.col("evidence") + F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift)))))
+    rates = [F.col(f"site.{c}").alias(c) for c in ("n_host", "n_path", "global_rate", "host_rate", "path_rate")]
+    return joined.select("row", F.struct("evidence", *rates, quality.alias("quality"), (quality >= KEEP).alias("keep")).alias("judged"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected."""
-    return judge(docs, train(docs, labels)).where("__q.keep").drop("__q")
+    """The documents that are not rejected, with all their columns; see
+    ``judge`` for nulls, empty and long texts, repeated rows and clashing names."""
+    return judge(docs, train(docs, labels)).where("judged.keep").select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence, site posteriors and verdict of every row of ``documents``,
+    with its source as host and its language as path; see ``judge``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model).select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "__q.*")
+    judged = judge(docs, model, carry=["doc_id", "source", "lang"])
+    return judged.select("row.doc_id", F.col("row.source").alias("host"), F.col("row.lang").alias("path"), "judged.*")
