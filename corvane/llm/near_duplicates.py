@@ -124,14 +124,12 @@ def banded(docs: DataFrame, text: str) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept_by_worker("near-duplicates", dict)  # frees what other operators left
         for b in batches:
-            a, c, keys = [], [], []
+            found = []
             for x, y, t in zip(b["a"], b["b"], b["t"], strict=True):
                 items, weights = shingles(t)
                 if len(items):
-                    a.append(x)
-                    c.append(y)
-                    keys.append(band_keys(signature(items, weights)))
-            yield pd.DataFrame({"a": a, "b": c, "keys": keys})
+                    found.append((x, y, band_keys(signature(items, weights))))
+            yield pd.DataFrame(found, columns=["a", "b", "keys"])
 
     rows = docs.select(text_id(F.col(text)).alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull()).select("id.a", "id.b", "t")
     signed = rows.mapInPandas(sign, "a long, b long, keys array<long>")

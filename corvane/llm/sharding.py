@@ -180,5 +180,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row of ``documents``, by the law ``rows``;
+    see ``shard`` for null, empty, long and repeated texts and ids."""
     placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
