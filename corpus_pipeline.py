@@ -47,8 +47,9 @@ STAGES = [
     ("benchmark decontamination", keep_clean_of_benchmark),
     ("packing", pack_sequences),
 ]
-#: Trained classifiers and signatures cannot be put in SQL; the stages are
-#: tested against brute force.
+#: Trained classifiers and signatures cannot be put in SQL; the tests hold the
+#: stages against their operators' verdicts row by row, decontamination against
+#: brute force.
 ORACLE_SQL = None
 
 
