@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import fold_of, kept_by_worker, small_batches
+from corvane.llm.shared import drop_stage, fold_of, kept_by_worker, small_batches, stage
 
-#: Labelled texts per language the model is fitted on (the least by hash of the
-#: text).  Prediction reads whole texts; fitting does too.
-PER_LANGUAGE = 400
+#: Different labelled texts of a language that the model is fitted on at most
+#: (the least by hash of the text), and of all languages together, if each has
+#: one.  Prediction reads whole texts; fitting does too.
+PER_LANGUAGE, ALL_LANGUAGES = 400, 16_384
+RIDGE = 0.05
 LOG_BUCKETS = 12
 BUCKETS = 1 << LOG_BUCKETS
 LETTER = regex.compile(r"\p{L}")
@@ -66,19 +68,34 @@ def features(text: str | None) -> np.ndarray:
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 
 
+def ridge(x: np.ndarray, t: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The weights of ridge regression of ``t`` on the rows of ``x`` less
+    ``mean``: solved over rows or over columns, whichever are fewer, so the
+    system has at most as many equations as there are buckets."""
+    if len(x) <= x.shape[1]:
+        z = x - mean
+        return z.T @ np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), t) if len(z) else np.zeros((x.shape[1], t.shape[1]))
+    gram, right = RIDGE * np.eye(x.shape[1]), np.zeros((x.shape[1], t.shape[1]))
+    for at in range(0, len(x), 1024):
+        z = x[at : at + 1024] - mean
+        gram += z.T @ z
+        right += z.T @ t[at : at + 1024]
+    return np.linalg.solve(gram, right)
+
+
 class Model:
     """Linear bit classifiers, their weights in decoding and the codewords."""
 
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
         self.languages, self.codes = languages, code_matrix(len(languages))
-        self.mean = x.mean(0) if len(x) else np.zeros(BUCKETS)
-        z, t = x - self.mean, self.codes[y] if len(x) else np.zeros((0, self.codes.shape[1]))
-        # Ridge regression in its dual form: exact, and as large as the sample.
-        gram = z @ z.T + 0.05 * np.eye(len(z))
-        alpha = np.linalg.solve(gram, t - t.mean(0)) if len(z) else t
-        self.w, self.b = (z.T @ alpha).astype(np.float32), t.mean(0) if len(z) else np.zeros(self.codes.shape[1])
-        fit = z @ self.w + self.b
-        err = ((np.sign(fit) != t).sum(0) + 1) / (len(t) + 2)
+        t = self.codes[y] if len(x) else np.zeros((0, self.codes.shape[1]))
+        self.mean = x.mean(0, dtype=float) if len(x) else np.zeros(BUCKETS)
+        self.b = t.mean(0) if len(x) else np.zeros(self.codes.shape[1])
+        self.w = ridge(x, t - self.b, self.mean).astype(np.float32)
+        wrong = np.zeros(len(self.b))
+        for at in range(0, len(x), 1024):
+            wrong += (np.sign((x[at : at + 1024] - self.mean) @ self.w + self.b) != t[at : at + 1024]).sum(0)
+        err = (wrong + 1) / (len(t) + 2)
         self.weight = np.maximum(np.log((1 - err) / err), 1e-3)
         self.weight /= self.weight.sum()
 
@@ -92,38 +109,54 @@ class Model:
         return self.languages[best], score, score < AMBIGUOUS
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` texts of each language.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, all_languages: int = ALL_LANGUAGES) -> Model:
+    """Fit on at most ``per_language`` different texts of each language, the
+    least by hash of the text, fewer if there are so many languages that they
+    would be over ``all_languages``, but one of each at least.
 
-    The language names are few by nature; the sample is the least of each by
-    hash of the text, found by partial aggregation, so no language's rows meet
-    in one task, and it does not depend on the order of rows.
+    Every language with a text that is not null is learned, however often its
+    texts repeat.  The sample is found by partial aggregation, so no language's
+    rows meet in one task, and it does not depend on the order of rows; ids
+    play no part.  Null texts and languages are left out, empty and very long
+    texts are texts like others; other columns are not read.  The language
+    names, few by nature, come to the driver.
     """
-    small_batches(docs.sparkSession)
-    known = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
-    total = known.groupBy("l").count()
-    names = sorted(r.l for r in total.collect())
-    # A hash threshold per language keeps about 1.5 times what is asked for; the exact cut follows on the driver.
-    cut = total.select(F.col("l").alias("name"), F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("count")).alias("share"))
-    part = known.join(F.broadcast(cut), F.col("l") == F.col("name")).where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    # How many different texts a language has, within a few per cent; a share by hash then keeps well over what is wanted, and all of small languages.
+    total = stage(known.groupBy("l").agg(F.approx_count_distinct("h", 0.03).alias("n")), "language-texts")
+    most = max(1, min(per_language, all_languages // max(1, total.count())))
+    cut = total.select(F.col("l").alias("name"), F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.col("n")).alias("share"))
+    part = known.join(F.broadcast(cut), F.col("l") == F.col("name")).where((F.col("share") >= 1) | (F.pmod("h", F.lit(1_000_000_007)) < F.col("share") * 1_000_000_007))
+    by_hash = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1_000_000_007)), "h")
+    least = part.groupBy("l", "h").agg(F.first("t").alias("t")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
 
     def vectors(batches):
         for b in batches:
-            yield pd.DataFrame({"l": b["l"], "h": b["h"], "x": [features(t).astype(np.float32).tobytes() for t in b["t"]]})
+            yield pd.DataFrame({"l": b["l"], "rank": b["rank"], "x": [features(t).astype(np.float32).tobytes() for t in b["t"]]})
 
-    rows = part.select("l", "h", "t").mapInPandas(vectors, "l string, h long, x binary").dropDuplicates(["l", "h"]).collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.l, r.h)):
-        by.setdefault(r.l, []).append(np.frombuffer(r.x, np.float32))
-    xs = [x for n in names for x in by.get(n, [])[:per_language]]
-    ys = [i for i, n in enumerate(names) for _ in by.get(n, [])[:per_language]]
-    return Model(names, np.array(xs, float).reshape(-1, BUCKETS), np.array(ys, int))
+    rows = stage(least.select("l", "rank", "t").mapInPandas(vectors, "l string, rank int, x binary"), "language-sample")
+    names = sorted(r.l for r in total.select("l").collect())
+    number = {n: i for i, n in enumerate(names)}
+    x, y = np.zeros((rows.count(), BUCKETS), np.float32), []
+    for r in rows.orderBy("l", "rank").toLocalIterator():
+        x[len(y)] = np.frombuffer(r.x, np.float32)
+        y.append(number[r.l])
+    drop_stage(spark, rows)
+    drop_stage(spark, total)
+    return Model(names, x, np.array(y, int))
 
 
 def predict(model: Model, docs: DataFrame, text: str = "text") -> Column:
     """A column for ``docs``: struct of ``lang``, ``score`` and ``ambiguous``.
+
     Null texts, texts without a letter, and all texts if nothing was learned,
-    are ``und`` with score 0."""
+    are ``und`` with score 0.  Of languages that a text is equally near to the
+    first by name is told.  Very long texts are counted whole, in pieces.  Each
+    row is told by its text alone: rows that repeat have equal answers, an
+    empty table has none, and other columns are not read.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -139,6 +172,8 @@ def predict(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``, learned from those whose
+    fold is not 0; see ``train`` and ``predict``.  A null id counts as held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = fold_of(F.col("doc_id"), 5)
     model = train(docs.where(fold != 0))
