@@ -98,82 +98,91 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return np.take_along_axis(codes, best[:, None, None], 1)[:, 0], (approx * approx).sum(1)
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, rerank: int, top: int) -> Iterator[tuple[int, int, float]]:
-    """(query, vec_id, distance): each query's ``top`` best of one block."""
-    tables = np.einsum("qd,mkd->qmk", q.astype(np.float32), books)
-    x64 = x.astype(np.float64)
-    wrong = np.sqrt(((x64 - sum(books[m][codes[:, m]] for m in range(len(books)))) ** 2).sum(1))
+def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, scale: float, rerank: int, top: int) -> Iterator[tuple[int, int, float]]:
+    """(query, vec_id, distance): each query's ``top`` best of one block.
+
+    Codes, norms and codebooks are of vectors divided by ``scale``, in single
+    precision; distances are of the vectors as they are, in double precision.
+    """
+    tables = np.einsum("qd,mkd->qmk", (q / scale).astype(np.float32), books)
+    wrong = np.sqrt(((x / scale - sum(books[m][codes[:, m]] for m in range(len(books)))) ** 2).sum(1))
+    measure = lambda at, one: np.sqrt(((x[at] - one) ** 2).sum(1))
     for i in range(len(q)):
-        q64 = q[i].astype(np.float64)
         estimate = norms - 2 * tables[i][np.arange(len(books))[:, None], codes.T].sum(0)
         estimate[ids == q_ids[i]] = np.inf
         n = min(rerank, len(ids))
         # All that tie with the last are in: which of them come first is for the exact distance and vec_id to say.
         chosen = (estimate <= np.partition(estimate, n - 1)[n - 1]) & (ids != q_ids[i])
         at = np.flatnonzero(chosen)
-        d = np.sqrt(((x64[at] - q64) ** 2).sum(1))
+        d = measure(at, q[i])
         if len(d) >= top:
-            far, own = np.partition(d, top - 1)[top - 1], (q64 * q64).sum()
+            far, own = np.partition(d, top - 1)[top - 1] / scale, ((q[i] / scale) ** 2).sum()
             # What may still be nearer, with a margin for single precision: among vectors as near as their
             # approximations are wrong by the triangle inequality, else for cosines of the two within CHANCE.
             cosine = np.where(1.5 * wrong >= far, 1.0, min(1.0, CHANCE / np.sqrt(x.shape[1])))
             square = np.maximum(np.where(np.isfinite(estimate), estimate + own, 0), 0)
-            may = square + wrong**2 - 2 * cosine * wrong * np.sqrt(square) <= far**2 + 1e-5 * (own + norms)
-            may |= (cosine == 1) & (square <= (far + wrong) ** 2 + 1e-5 * (own + norms))
+            slack = 1e-5 * (own + norms) + 1e-30
+            may = square + wrong**2 - 2 * cosine * wrong * np.sqrt(square) <= far**2 + slack
+            may |= (cosine == 1) & (square <= (far + wrong) ** 2 + slack)
             more = np.flatnonzero(may & ~chosen & (ids != q_ids[i]))
-            at, d = np.concatenate([at, more]), np.concatenate([d, np.sqrt(((x64[more] - q64) ** 2).sum(1))])
+            at, d = np.concatenate([at, more]), np.concatenate([d, measure(more, q[i])])
         for j in np.lexsort((ids[at], d))[:top]:
             yield int(q_ids[i]), int(ids[at[j]]), float(d[j])
 
 
-def build_index(vectors: DataFrame, books: np.ndarray, dim: int, n_blocks: int) -> DataFrame:
+def stacked(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column])
+
+
+def build_index(vectors: DataFrame, books: np.ndarray, scale: float, n_blocks: int) -> DataFrame:
     """(block, ids, x, codes, norms): all vectors, encoded, in blocks by hash of
-    vec_id; the packed columns are little-endian arrays."""
+    vec_id; the packed columns are little-endian arrays, x of doubles."""
     held = vectors.sparkSession.sparkContext.broadcast(books)
 
     def pack(key, frame):
         frame = frame.sort_values("vec_id", kind="stable")
-        x = np.stack([np.asarray(v, np.float32) for v in frame["embedding"]])
+        x = stacked(frame["embedding"])
         # Copies are encoded once, so that their estimates are the same to the last bit.
-        one, of = np.unique(x, axis=0, return_inverse=True)
+        one, of = np.unique((x / scale).astype(np.float32), axis=0, return_inverse=True)
         codes, norms = zip(*(encode(one[i : i + 1024], held.value) for i in range(0, len(one), 1024)), strict=True)
-        codes, norms = np.concatenate(codes)[of], np.concatenate(norms)[of]
-        return pd.DataFrame([[key[0], frame["vec_id"].to_numpy("<i8").tobytes(), x.tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]], columns=["block", "ids", "x", "codes", "norms"])
+        codes, norms = np.concatenate(codes)[of.ravel()], np.concatenate(norms)[of.ravel()]
+        return pd.DataFrame([[key[0], frame["vec_id"].to_numpy("<i8").tobytes(), x.astype("<f8").tobytes(), codes.tobytes(), norms.astype("<f4").tobytes()]], columns=["block", "ids", "x", "codes", "norms"])
 
     rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
     return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, x binary, codes binary, norms binary")
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each query by
     Euclidean distance, ties to the smaller vec_id; all candidates if fewer.
 
-    Both tables have vec_id and embedding.  A query's own vec_id is no
-    candidate.  Null ids and vectors that are not ``valid``, or not as long as
-    most, take no part.  Of rows that repeat a vec_id the one with the least
-    vector counts.  Other columns are left out.
+    Both tables have vec_id and embedding, of floats or doubles, which are
+    measured as they are.  A query's own vec_id is no candidate.  Null ids and
+    vectors that are not ``valid``, or not as long as most, take no part.  Of
+    rows that repeat a vec_id the one with the least vector counts.  Empty
+    tables give no rows.  Other columns are left out.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")]
+    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     clean = lambda df: df.select(*columns).where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = stage(clean(vectors), "ann-vectors")
-    shape = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    largest = F.max(F.array_max(F.transform("embedding", F.abs)))
+    shape = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("count"), largest.alias("scale")).orderBy(F.desc("count"), "dim").first()
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = shape.dim, shape["count"]
+    asked = clean(queries).where(F.size("embedding") == dim)
+    sought = asked.agg(F.count(F.lit(1)).alias("n"), largest.alias("scale")).first()
+    scale, n_query_blocks = float(max(shape.scale, sought.scale or 0)), max(1, -(-sought.n // query_block))
     rows = rows.where(F.size("embedding") == dim)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
-    books = fit(np.stack([np.asarray(v, np.float32) for v in picked["embedding"]]))
-    n_blocks = -(-n // BLOCK)
-    index = stage(build_index(rows, books, dim, n_blocks), "ann-index")
-    asked = clean(queries).where(F.size("embedding") == dim)
-    n_queries = asked.count()
-    n_query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    books = fit(stacked(picked["embedding"]) / scale)
+    n_blocks = -(-n // block)
+    index = stage(build_index(rows, books, scale, n_blocks), "ann-index")
 
     def pack(key, frame):
-        x = np.stack([np.asarray(v, np.float32) for v in frame["embedding"]])
-        return pd.DataFrame([[frame["vec_id"].to_numpy("<i8").tobytes(), x.tobytes()]], columns=["q_ids", "q"])
+        return pd.DataFrame([[frame["vec_id"].to_numpy("<i8").tobytes(), stacked(frame["embedding"]).astype("<f8").tobytes()]], columns=["q_ids", "q"])
 
     blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).alias("qb")).applyInPandas(pack, "q_ids binary, q binary")
     sent = blocks.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -184,8 +193,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
             for r in batch.itertuples(index=False):
                 ids = np.frombuffer(r.ids, "<i8")
                 found = nearest(
-                    np.frombuffer(r.q, "<f4").reshape(-1, dim), np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.x, "<f4").reshape(-1, dim), ids,
-                    np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1), np.frombuffer(r.norms, "<f4"), held.value, rerank, top,
+                    np.frombuffer(r.q, "<f8").reshape(-1, dim), np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.x, "<f8").reshape(-1, dim), ids,
+                    np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1), np.frombuffer(r.norms, "<f4"), held.value, scale, rerank, top,
                 )
                 yield pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
@@ -197,5 +206,6 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every hundredth row of ``embeddings``; see ``search``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))

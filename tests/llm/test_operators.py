@@ -43,6 +43,18 @@ def test_urls(spark):
     assert url_filters.filter_urls(pages.limit(0), listed).count() == 0 and url_filters.filter_urls(pages, listed.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+def test_urls_by_shuffle_and_ties_of_rules(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.net/p{i % 3}") for i in range(60)] + [(100 + i, "http://hot.net/x") for i in range(40)], "page_id long, url string")
+    listed = spark.createDataFrame([("hot.net/x",), ("h1.net/p1",)], "u string")
+    run = lambda: sorted((r.page_id, r.verdict) for r in url_filters.filter_urls(pages, listed).collect())
+    sent = run()
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    assert run() == sent and [i for i, v in sent if v == "block"] == [i for i in range(60) if i % 7 == 1 and i % 3 == 1] + list(range(100, 140))
+    ties = (("block", "b.com", "/"), ("allow", "a.com", "/"), ("block", "a.com", "/"))
+    rule, verdict = url_filters.rule_columns(F.lit("x.a.com"), F.lit("/q"), ties)
+    assert spark.range(1).select(rule.alias("r"), verdict.alias("v")).first()["r"] == "a.com/"
+
+
 def test_bloom_blocks_have_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"))
     blocks = {r.block: r for r in url_filters.bloom_blocks(keys, "k", 190).collect()}
@@ -58,7 +70,7 @@ def test_bloom_blocks_have_no_false_negatives(spark):
 @pytest.mark.parametrize("case", ["mixed", "one hot group", "empty"])
 def test_sharding(spark, case):
     rng = random.Random(1)
-    texts = {"mixed": [None, "", ""] + [f"copy {i % 9}" for i in range(60)] + [prose(rng, 5) for _ in range(137)], "one hot group": ["hot"] * 90 + [prose(rng, 4) for _ in range(60)] + ["é"] * 7, "empty": []}[case]
+    texts = {"mixed": [None, "", ""] + [f"copy {i % 9}" for i in range(60)] + ["long " * 50000] + [prose(rng, 5) for _ in range(136)], "one hot group": ["hot"] * 90 + [prose(rng, 4) for _ in range(60)] + ["é"] * 7, "empty": []}[case]
     rows = [(i if i % 50 else None, t, "x") for i, t in enumerate(texts)] + [(3, "twice", "x")] * 2 * bool(texts)
     got = sharding.shard(docs(spark, rows, ", shard string"), 16).collect()
     assert len(got) == len(rows)
@@ -74,6 +86,27 @@ def test_sharding(spark, case):
         assert len({r.shard for r in got if r.size == 4}) <= 16 and len({r.shard for r in got if r.size == 3 and r.text_crc32 == zlib.crc32("é".encode())}) <= 5
 
 
+def test_shards_cut_no_more_groups_than_a_plain_packing(spark):
+    """Against brute force: largest groups first, each whole into the emptiest shard, cut only where none has room."""
+    rng = random.Random(25)
+    texts = [f"group {g}" for g in range(90) for _ in range(rng.randint(1, 60))]
+    got = sharding.shard(docs(spark, list(enumerate(texts))), 16).collect()
+    room, cut = [len(texts) // 16 + (s < len(texts) % 16) for s in range(16)], 0
+    for n in sorted((texts.count(t) for t in set(texts)), reverse=True):
+        s = max(range(16), key=room.__getitem__)
+        if room[s] >= n:
+            room[s] -= n
+        else:
+            cut += 1
+            while n:
+                s = max(range(16), key=room.__getitem__)
+                n, room[s] = n - min(n, room[s]), room[s] - min(n, room[s])
+    at = {}
+    for r in got:
+        at.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) > 1 for s in at.values()) <= cut + 5 and sum(len(s) - 1 for s in at.values()) <= 2 * (cut + 5)
+
+
 @pytest.mark.parametrize("texts", [["hot"] * 640 + [f"pair {i // 2}" for i in range(360)] + [f"one {i}" for i in range(920)], [f"pair {i // 2}" for i in range(1920)], ["hot"] * 300 + ["hotter"] * 500 + [f"big {i % 9}" for i in range(990)] + [f"pair {i // 2}" for i in range(130)]])
 def test_groups_that_fit_are_whole(spark, texts):
     got = sharding.shard(docs(spark, list(enumerate(texts))), 16).collect()
@@ -279,6 +312,64 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def sequences(rows):
+    """Each sequence's pieces in order, whole and without gaps."""
+    seq = {}
+    for r in rows:
+        seq.setdefault(r.sequence_id, []).append(r)
+    for pieces in seq.values():
+        pieces.sort(key=lambda p: p.offset)
+        assert [p.offset for p in pieces] == [0, *itertools.accumulate(p.length for p in pieces)][:-1]
+    return seq
+
+
+@pytest.mark.parametrize("limits", [{"size": 64, "block": 300}, {"size": 2048, "tails": 7}, {"size": 100, "block": 1, "tails": 1}])
+def test_tails_and_blocks_are_packed_together(spark, limits):
+    rng = random.Random(19)
+    texts = [" ".join(prose(rng, 6) + "." for _ in range(rng.randint(1, 5))) for _ in range(40)] + ["z" * 900, None]
+    frame = spark.createDataFrame([(f"id {i}", t, 1) for i, t in enumerate(texts)], "doc_id string, text string, tail int").repartition(20)
+    got = packing.pack(frame, **limits).collect()
+    encode = packing.WordEncoder(packing.tokenizer_path())
+    for i, t in enumerate(texts):
+        want, own = encode.many([t or ""])[0] + packing.END.tobytes(), sorted((r for r in got if r.doc_id == f"id {i}"), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in own) == want and [r.start for r in own] == [0, *itertools.accumulate(r.length for r in own)][:-1]
+        assert {r.doc_tokens for r in own} == {len(want) // 4} and all(r.ids_crc32 == zlib.crc32(r.ids) for r in own)
+    seq = sequences(got)
+    sizes = [sum(p.length for p in s) for s in seq.values()]
+    assert max(sizes) <= limits["size"]
+    if limits["size"] == 2048:  # 20 partitions in 3 streams: no more short sequences than powers of two at the end of each
+        assert sum(n < 2048 for n in sizes) <= 3 * 11 and len(sizes) < 20
+        mid = [p for s in seq.values() for p in s[-1:] if p.start + p.length < p.doc_tokens and not encode.ends[np.frombuffer(p.ids, "<u4")[-1]]]
+        assert len(mid) <= 3 * 2
+    assert "ids" not in packing.pack(frame, ids=False, **limits).columns
+    kept = packing.pack(frame, ids=False, **limits).agg(F.sum("length").alias("n"), F.sum("ids_crc32").alias("c")).first()
+    assert kept.n == sum(r.length for r in got)
+
+
+def test_last_cuts_are_optimal():
+    rng, sentence = np.random.default_rng(20), np.zeros(9, bool)
+    sentence[3] = True
+    for _ in range(60):
+        ids, size = rng.integers(2, 9, rng.integers(1, 30)).astype(np.uint32), 16
+        ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 3), len(ids)))
+        fee = lambda j: 0 if j in ends else packing.SENTENCE_CUT if ids[j - 1] == 3 else packing.FORCED_CUT
+        waste = lambda n: (0 if n & (n - 1) == 0 else size - n) + (packing.SHORT_SEQUENCE if n < size else 0)
+        best = [0]
+        for j in range(1, len(ids) + 1):
+            best.append(min(best[i] + waste(j - i) for i in range(max(0, j - size), j)) + fee(j))
+        cuts = packing.last_cuts(ids, ends, sentence, size)
+        assert cuts[-1] == len(ids) and sum(waste(b - a) + fee(b) for a, b in itertools.pairwise([0, *cuts])) == best[-1]
+
+
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    encode = packing.WordEncoder(packing.tokenizer_path())
+    whole = packing.WordEncoder(packing.tokenizer_path()).whole
+    for t in ["a" * 5000, " ".join(f"w{i}x" for i in range(500)), "short words here"] * 2:
+        assert np.frombuffer(encode.many([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert len(encode.words) + len(encode.chunks) < 40
+
+
 # ---- chat
 
 
@@ -320,19 +411,32 @@ def test_decontamination_equals_brute_force(spark):
             a = rng.randint(0, len(w))
             parts += [" ".join(w[a : a + rng.randint(5, 30)]), prose(rng, rng.randint(0, 5))]
         texts.append(" ".join(parts))
-    rows = [(i, t, "x") for i, t in enumerate(texts)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontamination.BLOCK_WORDS, 60):
-        frame = docs(spark, rows, ", items string")
-        got = frame.select("doc_id", decontamination.contamination(frame, bench, block_words=limit).alias("x")).collect()
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "x"), (None, texts[8], "x")]
+    for kind in ("long", "string"):
+        bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        frame = docs(spark, rows, ", items string").withColumns({c: F.lit("mine") for c in ("row", "key", "n_hit", "k", "a", "t")})
+        got = decontamination.contamination(frame, bench).collect()
+        assert sorted(str(r.row.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
         for r in got:
-            digest = hashlib.sha256(",".join(sorted(map(str, r.x["items"]))).encode()).hexdigest()
-            assert (r.x.n_words, r.x.n_hit, digest) == decontamination.brute_force(texts[r.doc_id], items), r.doc_id
-            assert sum(b - a for a, b in r.x.spans) == r.x.n_hit
+            digest = hashlib.sha256(",".join(r["items"]).encode()).hexdigest()
+            assert (r.n_words, r.n_hit, digest) == decontamination.brute_force(r.row.text, items), r.row.doc_id
+            assert sum(b - a for a, b in r.spans) == r.n_hit and all(a < b for a, b in r.spans) and r.spans == sorted(r.spans)
+        left = decontamination.drop_contaminated(frame, bench)
+        assert left.columns == frame.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.row.doc_id) for r in got if not r.n_hit)
     assert decontamination.drop_contaminated(docs(spark, [r[:2] for r in rows]), bench.limit(0)).count() == len(rows)
     assert decontamination.drop_contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_filter_lets_all_shingles_pass_even_when_full(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_BITS", 1 << 10)
+    rng = random.Random(24)
+    items = [(i, prose(rng, 30)) for i in range(60)]
+    texts = [prose(rng, 12) + " " + items[i][1] + " " + prose(rng, 3) for i in range(0, 60, 7)] + [prose(rng, 200)]
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), docs(spark, list(enumerate(texts)))
+    got = {r.row.doc_id: r for r in decontamination.contamination(frame, bench).collect()}
+    assert all((r.n_words, r.n_hit, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) == decontamination.brute_force(texts[i], items) for i, r in got.items()) and len(got) == len(texts)
+
+
 # ---- nearest neighbours
 
 
@@ -374,6 +478,29 @@ def test_neighbours_among_copies_and_near_copies(spark):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def exact_neighbours(x, q, top=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    return [(i, float(d[i])) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:top]
+
+
+@pytest.mark.parametrize("case", ["spread", "very near", "huge", "tiny"])
+def test_neighbours_over_several_blocks_keep_doubles(spark, case):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(1300, 24))
+    if case == "very near":
+        x = 1 + 1e-9 * rng.integers(0, 50, (1300, 24))
+    x *= {"huge": 1e120, "tiny": 1e-120}.get(case, 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits, scores = ann.search(frame, frame.where("vec_id % 50 = 0"), block=300, query_block=7, rerank=60, sample=600).collect(), 0, 0
+    for q in range(0, 1300, 50):
+        want, found = dict(exact_neighbours(x, q)), sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, 11)) and [(r.score, r.vec_id) for r in found] == sorted((r.score, r.vec_id) for r in found)
+        assert all(r.score == pytest.approx(float(np.sqrt(((x[r.vec_id] - x[q]) ** 2).sum())), rel=1e-12, abs=0) for r in found)
+        hits += len(want.keys() & {r.vec_id for r in found})
+        scores += 10
+    assert hits / scores >= 0.97
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(600, 8))
@@ -416,6 +543,42 @@ def test_language_identification(spark):
     assert min((a != b).sum() for a, b in itertools.combinations(codes, 2)) >= 5
 
 
+def test_every_language_with_a_text_is_learned(spark):
+    """One of a single text that repeats, rare ones, and more than the sample has room for."""
+    rng = random.Random(16)
+    own = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(100)}
+    rows = [(" ".join(rng.choice(own[k]) for _ in range(40)), k) for k in own for _ in range(4)] + [("immer der gleiche satz hier", "same")] * 3000 + [(None, "empty"), ("x", None)]
+    frame = spark.createDataFrame(rows, "text string, lang string").withColumns({"l": F.lit(1), "h": F.lit(2), "t": F.lit(3)})
+    model = language_id.train(frame)
+    assert model.languages == [*own, "same"]
+    got = frame.select("lang", language_id.predict(model, frame).alias("p")).collect()
+    assert np.mean([r.p.lang == r.lang for r in got if r.lang in own]) >= 0.95 and {r.p.lang for r in got if r.lang == "same"} == {"same"}
+    few = language_id.train(frame, all_languages=202)
+    assert few.languages == model.languages
+    least = language_id.train(frame.where("lang in ('l001', 'same')"), per_language=1)
+    assert least.languages == ["l001", "same"]
+
+
+def test_rows_and_columns_solve_the_same_regression():
+    rng = np.random.default_rng(17)
+    x, t = rng.random((60, 40)), rng.choice([-1.0, 1.0], (60, 3))
+    z = x - x.mean(0)
+    want = np.linalg.solve(z.T @ z + language_id.RIDGE * np.eye(40), z.T @ t)
+    assert np.allclose(language_id.ridge(x, t, x.mean(0)), want) and np.allclose(language_id.ridge(x[:30], t[:30], x.mean(0)), z[:30].T @ np.linalg.solve(z[:30] @ z[:30].T + language_id.RIDGE * np.eye(30), t[:30]))
+
+
+def test_decoding_equals_plain_loops(spark):
+    frame, _ = labelled(spark)
+    m = language_id.train(frame)
+    for r in frame.limit(40).collect():
+        x = language_id.features(r.text)
+        bits = [sum(float(a - c) * float(w) for a, c, w in zip(x, m.mean, m.w[:, b], strict=True)) + m.b[b] for b in range(m.codes.shape[1])]
+        loss = [sum(m.weight[b] * np.log1p(np.exp(-4 * code[b] * bits[b])) for b in range(len(bits))) for code in m.codes]
+        p = np.exp([-8 * (v - min(loss)) for v in loss])
+        name, score, doubtful = m.decode(x)
+        assert name == m.languages[int(np.argmin(loss))] and score == pytest.approx(p.max() / p.sum(), abs=1e-4) and doubtful == (score < language_id.AMBIGUOUS)
+
+
 def test_ambiguous_text_is_flagged(spark):
     frame, _ = labelled(spark)
     model = language_id.train(frame)
@@ -436,17 +599,97 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(frame.limit(0), labels).count() == 0
 
 
+def plain_score(model, text):
+    """A text's score word by word: embeddings, every place of every filter, the linear layer, the language's cut."""
+    net, own = model.net, words(text)
+    parts = np.array([toxicity.buckets_of(w) for w in own], int).reshape(-1, toxicity.PARTS)
+    x = np.zeros((max(len(own), max(toxicity.WIDTHS)), toxicity.DIM), np.float32)
+    if len(own):
+        x[: len(own)] = net.embed(parts)
+    margin = net.base
+    for j, (c, b, w) in enumerate(zip(net.filters, net.bias, toxicity.WIDTHS, strict=True)):
+        for k in range(toxicity.FILTERS):
+            best = max(sum(float(x[p + i] @ c[i][:, k]) for i in range(w)) for p in range(len(x) - w + 1)) + b[k]
+            margin += max(0.0, best) * net.out[j * toxicity.FILTERS + k]
+    known = [model.common[w] for w in own if w in model.common]
+    cut = model.cuts[int(np.argmax(sum(known)))] if known else model.cuts[-1]
+    return 1 / (1 + np.exp(-np.clip(2 * (margin - cut) + np.log(0.7 / 0.3), -50, 50)))
+
+
+def test_scores_equal_the_plain_network(spark, monkeypatch):
+    frame, labels = labelled(spark, 160)
+    frame = frame.unionByName(frame.where("doc_id in (1, 2)")).where("length(text) < 100000 or text is null")
+    model = toxicity.train(frame, labels)
+    texts = [r.text for r in frame.collect()] + ["vileword", "the vileword", "x" * 300 + " der", None]
+    want = [plain_score(model, t) for t in texts]
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-4)
+    net = model.net
+    assert net.forward(net.embed(np.array([toxicity.buckets_of(w) for w in words(texts[0])])))[2] == pytest.approx(model.margin(np.array([toxicity.buckets_of(w) for w in words(texts[0])])), abs=1e-4)
+    # Pieces of long texts and words that are not remembered change nothing.
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 5)
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-4)
+    assert np.allclose([r.s for r in frame.select(toxicity.score(model, frame).alias("s")).collect()], want[:-4], atol=1e-4)
+
+
+def test_fit_leaves_out_the_longest_over_its_words(spark):
+    frame, labels = labelled(spark, 60)
+    odd = frame.withColumns({c: F.lit(1) for c in ("i", "h", "n", "seq", "vocab", "t")})
+    model = toxicity.train(odd, labels, fit_words=500)
+    assert 0 < len(model.common) and all(0 <= r.s <= 1 for r in odd.select(toxicity.score(model, odd).alias("s")).collect())
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
 def test_quality(spark):
     frame, labels = labelled(spark)
+    frame = frame.unionByName(frame.where("doc_id in (1, 2)"))  # repeated rows
     model = quality.train(frame, labels.where("doc_id % 4 <> 0"))
-    got = {r.doc_id: r["__q"] for r in quality.judge(frame, model).collect()}
+    rows = quality.judge(frame, model).collect()
+    got = {r.row.doc_id: r.judged for r in rows}
     truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id is not None and r.doc_id % 4 == 0}
-    assert np.mean([got[i].keep == bool(t) for i, t in truth.items()]) >= 0.95 and len(got) == frame.count()
+    assert np.mean([got[i].keep == bool(t) for i, t in truth.items()]) >= 0.95 and len(rows) == frame.count()
     assert got[1000].n_host == 2 and all(0 < q.path_rate < 1 for q in got.values())
-    # A sparse site lies between its own share and its host's.
     assert quality.judge(frame.limit(0), model).count() == 0 and quality.keep_good(frame, labels.limit(0)).columns == frame.columns
 
 
+def test_quality_equals_brute_force(spark):
+    """Every row's verdict, from the classifier's evidence and plain loops."""
+    frame, labels = labelled(spark)
+    model = quality.train(frame, labels)
+    rows = frame.collect()
+    e = model.evidence(np.array([quality.features(r.text) for r in rows]))
+    p, hosts, paths = 1 / (1 + np.exp(-e)), {}, {}
+    for r, own in zip(rows, p, strict=True):
+        for sums, key in ((hosts, r.source), (paths, (r.source, r.lang))):
+            n, s = sums.get(key, (0, 0.0))
+            sums[key] = (n + 1, s + own)
+    top = (p.sum() + 1) / (len(p) + 2)
+
+    def shrunk(sites, prior):
+        """Each site's share drawn to its prior, by the strength that the spread between sites shows."""
+        n, s = (np.array([x[k] for x in sites.values()]) for k in (0, 1))
+        m = np.array([prior(k) for k in sites])
+        q = m * (1 - m)
+        v = ((n * (s / n - m) ** 2).sum() - q.sum()) / n.sum()
+        strength = quality.STRENGTH[1] if v <= 0 else np.clip((n * q).sum() / n.sum() / v - 1, *quality.STRENGTH)
+        return {k: (sites[k][1] + strength * prior(k)) / (sites[k][0] + strength) for k in sites}
+
+    host = shrunk(hosts, lambda k: top)
+    path = shrunk(paths, lambda k: host[k[0]])
+    odds = lambda x: np.log(x / (1 - x))
+    want = sorted((str(r.doc_id), float(1 / (1 + np.exp(-(own + np.clip(odds(path[r.source, r.lang]) - odds(top), -quality.SITE_LIMIT, quality.SITE_LIMIT)))))) for r, own in zip(rows, e, strict=True))
+    got = sorted((str(r.row.doc_id), r.judged.quality) for r in quality.judge(frame, model, carry=["doc_id"]).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([q for _, q in got], [q for _, q in want], atol=1e-9)
+
+
+def test_quality_with_clashing_names(spark):
+    frame, labels = labelled(spark, 60)
+    names = ["__q", "__evidence", "row", "judged", "site", "host", "path", "evidence", "__id", "i", "h", "q"]
+    odd = frame.withColumns({c: F.lit("mine") for c in names})
+    left = quality.keep_good(odd, labels)
+    assert left.columns == odd.columns and left.where(" and ".join(f"`{c}` = 'mine'" for c in names)).count() == left.count() == quality.keep_good(frame, labels).count()
+
+
 def test_site_posteriors_by_hand(spark):
     rows = [("h", "p", 3.0)] * 8 + [("h", "q", -3.0)] + [("g", "p", -3.0)] * 6
     got = {(r.host, r.path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "s string, l string, e double"), "s", "l", "e").collect()}
