@@ -152,6 +152,21 @@ def build_index(vectors: DataFrame, books: np.ndarray, scale: float, n_blocks: i
     return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, x binary, codes binary, norms binary")
 
 
+def least_hashed(rows: DataFrame, n: int, sample: int) -> pd.DataFrame:
+    """Of ``n`` rows the ``sample`` with the least hash of vec_id, all if fewer.
+    Tasks only send rows below a hash that somewhat more than ``sample`` are
+    expected to have, so what the driver gets does not grow with rows or tasks."""
+    asked = 1.2 * sample + 10 * np.sqrt(sample)
+    while True:
+        below = rows.select("embedding", "vec_id", F.xxhash64("vec_id").alias("hash"))
+        if asked < n:
+            below = below.where(F.col("hash") < F.lit(int(asked / n * 2**64) - 2**63))
+        got = below.toPandas()
+        if len(got) >= min(sample, n) or asked >= n:
+            return got.sort_values(["hash", "vec_id"]).head(sample)
+        asked *= 2
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each query by
     Euclidean distance, ties to the smaller vec_id; all candidates if fewer.
@@ -176,7 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
     sought = asked.agg(F.count(F.lit(1)).alias("n"), largest.alias("scale")).first()
     scale, n_query_blocks = float(max(shape.scale, sought.scale or 0)), max(1, -(-sought.n // query_block))
     rows = rows.where(F.size("embedding") == dim)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+    picked = least_hashed(rows, n, sample)
     books = fit(stacked(picked["embedding"]) / scale)
     n_blocks = -(-n // block)
     index = stage(build_index(rows, books, scale, n_blocks), "ann-index")
@@ -198,7 +213,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
                 )
                 yield pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
-    met = sent.join(index, F.col("__block") == F.col("block"))
+    # Neither side is sent through the driver, whatever Spark takes their sizes to be.
+    met = sent.join(index.hint("merge"), F.col("__block") == F.col("block"))
     best = met.select("q_ids", "q", "ids", "x", "codes", "norms").mapInPandas(meet, "query_id long, vec_id long, score double")
     # The limit by rank is also applied before the shuffle, to each task's rows.
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

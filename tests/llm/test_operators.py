@@ -501,6 +501,27 @@ def test_neighbours_over_several_blocks_keep_doubles(spark, case):
     assert hits / scores >= 0.97
 
 
+def test_codebooks_sample_sent_to_the_driver_is_bounded(spark):
+    rng = np.random.default_rng(29)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(12000, 64)))], "vec_id long, embedding array<double>")
+    conf = {"spark.sql.execution.arrow.pyspark.enabled": "false", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "128k"}
+    before, limit, key = {k: spark.conf.get(k) for k in conf}, spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        limit.set(key, "2m")  # 24 tasks with 400 vectors each are 5 MB
+        got = ann.search(frame, frame.where("vec_id = 7"), sample=400).collect()
+    finally:
+        limit.remove(key)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 10
+    rows = frame.repartition(5)
+    for sample in (1, 50, 12000, 20000):
+        want = [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+        assert ann.least_hashed(rows, 12000, sample)["vec_id"].tolist() == want
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(600, 8))
