@@ -1,5 +1,6 @@
-"""Dense and sparse scores of chunks against a batch of questions, block by
-block: matrix products over Arrow batches instead of rows for every pair.
+"""Dense, sparse and trigram scores of chunks against a batch of questions, block by
+block: matrix products, or an index of the questions' trigrams, over Arrow
+batches instead of rows for every pair.
 
 The questions' side is sent to all tasks, so it is measured first; a batch that
 is too large for that has no ``Asked``, and the callers in ``search`` take the
@@ -9,7 +10,7 @@ joins.  Each task only gives a question's chunks that may be among its best.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from corvane.functions.text import WORDS
+from corvane.functions.trigrams import among, trigram_set
 
 #: Bytes of the questions' side that are sent, and elements of a block's scores.
 SENT_BYTES, ELEMENTS = 32 << 20, 4 << 20
@@ -35,11 +37,12 @@ class Asked:
     kind: DataType
 
 
-def numbered(questions: DataFrame, value: str, size: int) -> tuple[Asked, list] | None:
+def numbered(questions: DataFrame, value: str, size: int, many: Callable = F.size) -> tuple[Asked, list] | None:
     """The batch with the column ``value``, or None if it takes more than
-    SENT_BYTES; ``size`` is about what an element of the value takes."""
-    rows = questions.select("query_id", F.col(value).alias("v"), (F.col("only") if "only" in questions.columns else F.lit(None).cast("array<string>")).alias("only")).where(F.size(value) > 0)
-    measured = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v").cast("long")).alias("v")).first()
+    SENT_BYTES; ``size`` is about what an element of the value takes, of which
+    there are ``many``."""
+    rows = questions.select("query_id", F.col(value).alias("v"), (F.col("only") if "only" in questions.columns else F.lit(None).cast("array<string>")).alias("only")).where(many(value) > 0)
+    measured = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(many("v").cast("long")).alias("v")).first()
     if 200 * measured.n + size * (measured.v or 0) > SENT_BYTES:
         return None
     got = rows.collect()
@@ -146,3 +149,24 @@ def occurrences(asked: Asked, terms: list, chunks: DataFrame, n: int) -> DataFra
             yield begin, np.where(tf > 0, 0.1 * tf / (1 + np.log(length))[:, None], -np.inf)
 
     return _scored(chunks, asked, "content", n, block)
+
+
+def similarities(asked: Asked, texts: list, chunks: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Word similarities of texts to chunks' ``content`` that may reach the
+    threshold, once they are rounded."""
+    step, held = max(1, ELEMENTS // max(1, len(texts))), []
+
+    def block(column: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+        if not held:  # once a task
+            held.append(among([trigram_set(t) for t in texts], threshold))
+        similar = held[0]
+        for begin in range(0, len(column), step):
+            rows = column.iloc[begin : begin + step].tolist()
+            scores = np.full((len(rows), len(texts)), -np.inf)
+            for i, t in enumerate(rows):
+                for q, s in similar(t):
+                    if s >= threshold - CLOSE:
+                        scores[i, q] = s
+            yield begin, scores
+
+    return _scored(chunks, asked, "content", n, block)

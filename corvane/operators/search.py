@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.embedding import cosine
+from corvane.functions.trigrams import word_similarity
 from corvane.operators import blockwise
 from corvane.settings import Settings
 
@@ -95,7 +96,7 @@ def within(scored: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFr
     if "only" not in questions.columns or "products" not in chunks.columns:
         return scored
     limit = questions.select("query_id", F.col("only").alias("__only"))
-    own = scored.join(limit, "query_id").join(chunks.select(F.col("id").alias("chunk_id"), F.col("products").alias("__p")), "chunk_id")
+    own = scored.join(limit, "query_id").join(chunks.select(F.col("id").alias("chunk_id"), F.col("products").alias("__p")).hint("merge"), "chunk_id")
     free = F.coalesce(F.size("__only"), F.lit(0)) <= 0
     return own.where(free | F.arrays_overlap("__only", "__p")).select(*scored.columns)
 
@@ -171,42 +172,6 @@ def exact(questions: DataFrame, index: DataFrame, n: int, chunks: DataFrame | No
     return top(scored if chunks is None else within(scored, questions, chunks), n, F.desc("score"), F.asc("chunk_id"))
 
 
-def trigrams(word: str) -> set[str]:
-    padded = f"  {word} "
-    return {padded[i : i + 3] for i in range(len(padded) - 2)}
-
-
-def trigram_set(text: str) -> set[str]:
-    import re
-
-    return {g for w in re.findall(r"\w+", text.lower()) for g in trigrams(w)}
-
-
-def word_similarity(query: str, text: str) -> float:
-    """The largest similarity of the query's trigrams to those of any extent of
-    the text's consecutive trigrams (the public definition)."""
-    import re
-
-    want = trigram_set(query)
-    if not want:
-        return 0.0
-    seq = [g for w in re.findall(r"\w+", text.lower()) for g in dict.fromkeys(f"  {w} "[i : i + 3] for i in range(len(w) + 1))]
-    hits = [i for i, g in enumerate(seq) if g in want]
-    best = 0.0
-    for a, i in enumerate(hits):
-        inside: set[str] = set()
-        total: set[str] = set()
-        at = i
-        for j in hits[a:]:
-            total.update(seq[at : j + 1])
-            at = j + 1
-            inside.add(seq[j])
-            best = max(best, len(inside) / (len(want) + len(total) - len(inside)))
-            if len(inside) == len(want):
-                break
-    return best
-
-
 def gram_index(chunks: DataFrame, chunk_id: str = "id", content: str = "content") -> DataFrame:
     """(gram, chunk_id): trigrams of each chunk's words, padded as ``  word ``."""
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w"))
@@ -221,13 +186,25 @@ def grams_of(word: Column) -> Column:
 def trigram(questions: DataFrame, chunks: DataFrame, n: int, threshold: float = 0.6) -> DataFrame:
     """Chunks whose word similarity to ``trigram_text`` reaches the threshold.
     A chunk must share that part of the question's trigrams to get there, so an
-    inverted index finds the candidates."""
+    inverted index finds the candidates: of the questions' trigrams in each task,
+    or of the chunks' if the questions are too large to be sent."""
+    small = blockwise.numbered(questions, "trigram_text", 200, F.length)
+    if small is not None:
+        scored = blockwise.similarities(*small, chunks, n, threshold) if small[0].ids else _none(questions, chunks)
+    else:
+        scored = _trigram_joins(questions, chunks, threshold)
+    return top(scored.where(F.col("score") >= threshold), n, F.desc("score"), F.asc("chunk_id"))
+
+
+def _trigram_joins(questions: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
+    """Both sides may be large while their files are small, from which Spark would
+    take them for small enough to go through the driver: so all joins are merges."""
     asked = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("trigram_text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w"))
     grams = asked.select("query_id", F.explode(grams_of(F.col("w"))).alias("gram")).distinct()
     need = grams.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = gram_index(chunks).join(grams, "gram").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("got"))
-    likely = shared.join(need, "query_id").where(F.col("got") >= F.col("n") * threshold).select("query_id", "chunk_id")
-    pairs = likely.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").join(questions.select("query_id", "trigram_text"), "query_id")
+    shared = gram_index(chunks).join(grams.hint("merge"), "gram").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("got"))
+    likely = shared.join(need.hint("merge"), "query_id").where(F.col("got") >= F.col("n") * threshold).select("query_id", "chunk_id")
+    pairs = likely.join(chunks.select(F.col("id").alias("chunk_id"), "content").hint("merge"), "chunk_id").join(questions.select("query_id", "trigram_text").hint("merge"), "query_id")
 
     @F.pandas_udf("double")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -235,7 +212,7 @@ def trigram(questions: DataFrame, chunks: DataFrame, n: int, threshold: float =
             yield pd.Series([word_similarity(a or "", b or "") for a, b in zip(q, t, strict=True)], dtype=float)
 
     scored = pairs.select("query_id", "chunk_id", F.round(similar("trigram_text", "content"), 9).alias("score")).where(F.col("score") >= threshold)
-    return top(within(scored, questions, chunks), n, F.desc("score"), F.asc("chunk_id"))
+    return within(scored, questions, chunks)
 
 
 def fuse(paths: dict[str, DataFrame], weights: dict[str, float], k: int = 60, n: int = 50) -> DataFrame:

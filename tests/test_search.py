@@ -173,6 +173,42 @@ def test_blocks_equal_joins(spark, monkeypatch):
     assert search.dense(none, chunks, 3).count() == search.sparse(none, chunks, 3).count() == search.dense(asked, chunks.limit(0), 3).count() == 0
 
 
+def test_trigram_blocks_equal_joins_and_plain_loops(spark, monkeypatch):
+    import random
+
+    rng, pool = random.Random(5), ["memory", "memories", "power supply", "Powered", "drive", "driver", "메모리", "a", "SR650-V4", "", "--"]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) if i % 17 else None, [f"p{i % 3}"]) for i in range(300)], "id long, content string, products array<string>")
+    asked = spark.createDataFrame([(q, [*pool, "memory drives", "power drive", None][q], [["p1"], [], None, ["p0", "p2"]][q % 4]) for q in range(14)], "query_id int, trigram_text string, only array<string>")
+    texts, wanted = {r.id: r for r in chunks.collect()}, asked.collect()
+    for threshold, n in ((0.6, 7), (0.3, 400), (1.0, 5)):
+        want = []
+        for q in wanted:
+            own = [(-round(search.word_similarity(q.trigram_text, c.content), 9), c.id) for c in texts.values() if q.trigram_text and c.content and (not q.only or set(q.only) & set(c.products))]
+            want += [(q.query_id, i, -s, k) for k, (s, i) in enumerate(sorted(x for x in own if -x[0] >= threshold)[:n], 1)]
+        run = lambda: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in search.trigram(asked, chunks, n, threshold).collect())  # noqa: B023,E731
+        assert run() == sorted(want) and want
+        with monkeypatch.context() as m:
+            m.setattr(search.blockwise, "ELEMENTS", 60)
+            assert run() == sorted(want)
+        with monkeypatch.context() as m:
+            m.setattr(search.blockwise, "SENT_BYTES", 0)
+            assert run() == sorted(want)
+    assert search.trigram(asked.limit(0), chunks, 3).count() == search.trigram(asked, chunks.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_trigrams_do_not_send_chunks_through_the_driver(spark, monkeypatch, tmp_path, sent):
+    monkeypatch.setattr(search.blockwise, "SENT_BYTES", sent)
+    spark.range(20000).select("id", F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string")), F.when(F.col("id") % 4000 == 7, "brushed")).alias("content")).write.parquet(f"{tmp_path}/c")
+    chunks, asked = spark.read.parquet(f"{tmp_path}/c"), spark.createDataFrame([("q", "brushed")], "query_id string, trigram_text string")
+    limit, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    try:
+        limit.set(key, "800k")  # the chunks are 1.6 MB and files of that size count as small
+        assert order(search.trigram(asked, chunks, 50)) == [7, 4007, 8007, 12007, 16007]
+    finally:
+        limit.remove(key)
+
+
 @pytest.mark.parametrize(("said", "cited", "answered"), [("8TB [1]", [1], True), ("8TB [99]", [], False), ("8TB", [], False), (T.NOT_FOUND + " [1]", [], False)])
 def test_citation_matrix(spark, said, cited, answered):
     row = spark.createDataFrame([("q", said, ["Up to 8TB"], 1)], "query_id string, generated string, evidence array<string>, n int")
